@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, ogg, repetition, token_counts
+from . import bpe, mixing, neardup, ogg, repetition, token_counts
 from .common import table
 
 TOKEN_LIMIT = 512
 
 
+def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Shingling(words=4, percent=80))
+
+
 def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.round_trip(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_ogg_media, op6_fair_mixing, op7_repetition_rules, op8_token_counts, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_minhash_neardup, op5_ogg_media, op6_fair_mixing, op7_repetition_rules, op8_token_counts, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
