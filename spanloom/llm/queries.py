@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, neardup, ogg, repetition, token_counts
+from . import bpe, mixing, neardup, ogg, pu_quality, repetition, token_counts
 from .common import table
 
 TOKEN_LIMIT = 512
@@ -35,12 +35,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pu_quality.score(docs, pu_quality.fitted(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_neardup, op5_ogg_media, op6_fair_mixing, op7_repetition_rules, op8_token_counts, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_minhash_neardup, op5_ogg_media, op6_fair_mixing, op7_repetition_rules, op8_token_counts, op9_pu_quality, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
