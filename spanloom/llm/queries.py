@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, neardup, ogg, pu_quality, repetition, token_counts, warc
+from . import bpe, chat, mixing, neardup, ogg, pu_quality, repetition, token_counts, warc
 from .common import table
 
 TOKEN_LIMIT = 512
@@ -18,6 +18,10 @@ def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Shingling(words=4, percent=80))
 
 
+def op2_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.round_trip(chat.with_probe(spark, table(spark, sf_dir, "conversations"))).drop("shared_chars")
+
+
 def op3_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -49,8 +53,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_neardup, op3_warc_chain, op5_ogg_media, op6_fair_mixing, op7_repetition_rules, op8_token_counts, op9_pu_quality, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_minhash_neardup, op2_chat_tree, op3_warc_chain, op5_ogg_media, op6_fair_mixing, op7_repetition_rules, op8_token_counts, op9_pu_quality, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_fair_mixing": mixing.SQL}
+    return {"op2_chat_tree": chat.SQL, "op3_warc_chain": warc.SQL, "op6_fair_mixing": mixing.SQL}
