@@ -89,6 +89,7 @@ def map_slices(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict],
             for part in slices(batch, text, limit):
                 out = fn(part)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in out.values()], names=list(out))
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -41,7 +41,9 @@ _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
 #: Elements whose first steps are taken together.
-_TOGETHER = 1 << 18
+_TOGETHER = 1 << 15
+#: Bytes of text that one step shingles.
+_STEP_BYTES = 1 << 20
 #: Classes on each side of a block.
 BLOCK = 512
 
@@ -150,7 +152,7 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
         bands = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel(), mask=pa.array(empty))
         return {"doc_id": part.column(0).cast(pa.int64()), "n_shingles": pa.array([s.size for s in sets], pa.int64()), "hi": marks[:, 0], "lo": marks[:, 1], "bands": bands}
 
-    return map_slices(docs, "doc_id long, n_shingles long, hi long, lo long, bands array<long>", run)
+    return map_slices(docs, "doc_id long, n_shingles long, hi long, lo long, bands array<long>", run, limit=_STEP_BYTES)
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -160,7 +162,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
         keys = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
         return {"id": part.column(0).cast(pa.int64()), "shingles": pa.ListArray.from_arrays(ends, keys)}
 
-    return map_slices(docs, "id long, shingles array<long>", run)
+    return map_slices(docs, "id long, shingles array<long>", run, limit=_STEP_BYTES)
 
 
 def _fits(a: str, b: str, percent: int) -> Column:
