@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, neardup, ogg, pu_quality, repetition, token_counts, warc
+from . import bpe, chat, licenses, mixing, neardup, ogg, pu_quality, repetition, token_counts, warc
 from .common import table
 
 TOKEN_LIMIT = 512
@@ -26,6 +26,10 @@ def op3_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.round_trip(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_neardup, op2_chat_tree, op3_warc_chain, op5_ogg_media, op6_fair_mixing, op7_repetition_rules, op8_token_counts, op9_pu_quality, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_minhash_neardup, op2_chat_tree, op3_warc_chain, op4_license_scan, op5_ogg_media, op6_fair_mixing, op7_repetition_rules, op8_token_counts, op9_pu_quality, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -255,15 +255,17 @@ def round_trip(df: DataFrame, least_bytes: int = 0) -> DataFrame:
     return out
 
 
+#: 5 hex digits are 20 bits are 4 letters
+_LETTERS = " || ".join(
+    f"substr('{_ALPHABET}', ((CAST('0x' || substr(hex, {5 * (i // 4) + 1}, 5) AS BIGINT) >> {15 - 5 * (i % 4)}) & 31) + 1, 1)" for i in range(32)
+)
 SQL = f"""
 WITH rows_ AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
 keyed AS (
   SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha1(payload) AS hex,
-    min(page_id) OVER (PARTITION BY payload) AS first, count(*) OVER (PARTITION BY payload) AS copies FROM rows_),
-cut AS (SELECT *, list_transform(range(8), k -> CAST('0x' || substr(hex, 5 * k + 1, 5) AS BIGINT)) AS groups FROM keyed)
-SELECT page_id, payload_bytes,
-  array_to_string(list_transform(range(32), i -> substr('{_ALPHABET}', ((groups[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS payload_digest,
+    min(page_id) OVER (PARTITION BY payload) AS first, count(*) OVER (PARTITION BY payload) AS copies FROM rows_)
+SELECT page_id, payload_bytes, {_LETTERS} AS payload_digest,
   CASE WHEN copies = 1 OR first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN copies = 1 OR first IS NULL OR first = page_id THEN NULL ELSE first END AS refers_to
-FROM cut
+FROM keyed
 """
