@@ -1,11 +1,15 @@
-"""A corpus pipeline: each stage calls one training-data operator on what the stage before kept."""
+"""A corpus pipeline: each stage calls one training-data operator on what the stage before kept.
+
+Near-duplicates are judged on five-word shingles at a similarity of 0.8; the classifier is
+trained on the labelled documents among those it is given.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import bpe, mixing, repetition
+from spanloom.llm import bpe, mixing, neardup, pu_quality, repetition
 from spanloom.llm.common import staged, table
 
 
@@ -14,6 +18,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return repetition.keep_rows(docs)
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that the classifier doesn't predict good."""
+    return pu_quality.keep_good(docs, pu_quality.fitted(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, the one with the smallest id, of each group of near-duplicates."""
+    return neardup.keep_first(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each source up to its target; a document comes as often as it is taken."""
     return mixing.mixed_rows(docs)
@@ -24,7 +38,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("quality rules", quality_rules), ("mixing", mix_sources), ("byte-level BPE", encode)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("quality classifier", quality_classifier),
+    ("near-duplicates", near_dedup),
+    ("mixing", mix_sources),
+    ("byte-level BPE", encode),
+]
 
 #: The classifier, the signatures and the token ids are beyond SQL.
 ORACLE_SQL = None
