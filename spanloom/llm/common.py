@@ -94,6 +94,20 @@ def map_slices(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict],
     return df.mapInArrow(run, schema)
 
 
+def filter_rows(df: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows whose text ``keep`` marks, with all their columns (named by position inside)."""
+    names = df.columns
+    at = names.index(text_col)
+    plain = df.toDF(*[f"_{i}" for i in range(len(names))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at):
+                yield part.filter(pa.array(keep(full_texts(part.column(at)))))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
+
+
 def full_texts(column: pa.Array) -> pa.Array:
     """Null texts as empty ones, in one contiguous string array."""
     return pc.fill_null(column, "").cast(pa.large_string())

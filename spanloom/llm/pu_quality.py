@@ -21,7 +21,6 @@ usable label every other score is 0.5; an empty table gives an empty table.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import full_texts, map_slices, pick, slices, spread
+from .common import filter_rows, full_texts, map_slices, pick, spread
 
 MAX_LABELLED, MAX_UNLABELLED = 10_000, 10_000
 THRESHOLD = 0.7
@@ -227,11 +226,4 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
 def keep_good(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows predicted good, with all their columns."""
-    at = df.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, at):
-                yield part.filter(pa.array(model.score(features(full_texts(part.column(at)))) >= THRESHOLD))
-
-    return df.mapInArrow(run, df.schema)
+    return filter_rows(df, text_col, lambda texts: model.score(features(texts)) >= THRESHOLD)

@@ -12,14 +12,12 @@ of the input are ignored by ``repetition_rules`` and returned as they are by ``k
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import full_texts, map_slices, pick, slices, spread
+from .common import filter_rows, full_texts, map_slices, pick, spread
 
 #: n-gram length in words -> largest share of word characters inside duplicated n-grams.
 NGRAM_LIMITS = {5: 0.60, 7: 0.55, 10: 0.50}
@@ -160,11 +158,4 @@ def repetition_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_rows(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows whose text passes, with all their columns."""
-    at = df.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, at):
-                yield part.filter(pa.array(measure(full_texts(part.column(at)))["kept"]))
-
-    return df.mapInArrow(run, df.schema)
+    return filter_rows(df, text_col, lambda texts: measure(texts)["kept"])
