@@ -16,6 +16,7 @@ this operator.
 from __future__ import annotations
 
 import base64
+import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -135,6 +136,17 @@ def decode_column(path: str, pattern: str):
 
 
 def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, decode the ids again, and reduce both to digests."""
-    coded = encode(df, path, pattern, id_col, text_col)
-    return coded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(decode_column(path, pattern)("token_ids"), 256).alias("decoded_sha256"))
+    """Encode, decode the ids again, and reduce both to digests, a row at a time in one worker:
+    what ``encode`` and ``decode_column`` give, without sending ids and bytes between processes."""
+
+    def run(part: pa.RecordBatch) -> dict:
+        own = codec(path, pattern)
+        counts, ids_sha, text_sha = [], [], []
+        for text in part.column(1):
+            ids = own.encode(text.as_py() or "")
+            counts.append(len(ids) // 4)
+            ids_sha.append(hashlib.sha256(ids).hexdigest())
+            text_sha.append(hashlib.sha256(own.decode(ids)).hexdigest())
+        return {"doc_id": part.column(0).cast(pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
+
+    return map_slices(spread(pick(df, doc_id=id_col, text=text_col)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", run)
