@@ -115,3 +115,25 @@ def resume(todo: DataFrame, done: DataFrame, key: str = "sample_id") -> DataFram
 def in_order_of(selected: DataFrame, rows: DataFrame, key: str = "sample_id") -> DataFrame:
     """The rows of a subset (key, row_index) with its order."""
     return selected.join(rows, key).orderBy("row_index")
+
+
+def main_split(source: DataFrame, made: DataFrame, total: int, minimum: int, key: str, id_col: str = "sample_id", labels_col: str = "labels") -> DataFrame:
+    """A stage of source and generated samples: source negatives up to their share, generated
+    ones for what is missing; generated positives are 3 for each label or a tenth of the total,
+    whichever is more, and source positives the rest. Then ``select_stage`` over these pools."""
+    negatives = int(round(total * NEGATIVE_SHARE))
+    own = min(max(3 * len(ENTITY_TYPES), total // 10), total - negatives)
+    none = F.size(F.coalesce(labels_col, F.array().cast("array<string>"))) == 0
+    columns = [id_col, labels_col]
+    kept = first_by_key(source.where(none).select(*columns), negatives, f"{key}:source-negative", id_col)
+    # generated negatives rank behind all source ones, so they only fill up
+    fill = kept.withColumn("tier", F.lit(0)).unionByName(made.where(none).select(*columns).withColumn("tier", F.lit(1)))
+    fill = stable_order(fill, f"{key}:negative", id_col).orderBy("tier", "order_key", id_col).limit(negatives).select(*columns)
+    some = first_by_key(source.where(~none).select(*columns), total - negatives - own, f"{key}:source-positive", id_col)
+    new = first_by_key(made.where(~none).select(*columns), own, f"{key}:made-positive", id_col)
+    return select_stage(fill.unionByName(some).unionByName(new), total, minimum, key, id_col, labels_col)
+
+
+def sampled_refs(df: DataFrame, n: int, seed: int, ref: str) -> DataFrame:
+    """n different refs by seeded digest, in place of a random generator's sample."""
+    return first_by_key(df.select(ref).distinct(), n, "refs", ref, seed)

@@ -119,9 +119,10 @@ def check_column(value: Column, split: str, system_prompt: str | None = None) ->
 
 
 def check_records(lines: DataFrame, split: str, system_prompt: str | None = None) -> DataFrame:
-    """lines (value, and any key columns) -> the keys and CHECKED's columns. Ids that several
-    records use are a fault of each of them."""
-    keys = [c for c in lines.columns if c != "value"]
+    """lines (value, and any key columns) -> the keys and CHECKED's columns; a key column that
+    has the name of one of those is left out. Ids that several records use are a fault of each."""
+    own = {f.split(":")[0] for f in CHECKED[len("struct<") : -1].split(",")}
+    keys = [c for c in lines.columns if c != "value" and c.lower() not in own]
     rows = lines.select(*keys, check_column(F.col("value"), split, system_prompt).alias("c")).select(*keys, "c.*")
     uses = rows.where("sample_id is not null").groupBy(F.col("sample_id").alias("used")).agg((F.count("*") > 1).alias("again")).where("again")
     marked = rows.join(uses, rows["sample_id"] == uses["used"], "left").drop("used")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import parsing, text
 from spanloom.labels import CANONICAL, ENTITY_TYPES, EXCLUDED
-from spanloom.operators import detect, documents, errors, profile, scoring, selection, spans, synth
-from spanloom.sources import files, sinks
+from spanloom.operators import detect, documents, errors, profile, scoring, selection, spans, synth, validation
+from spanloom.sources import files, host, lock, sinks
 
 
 def find_all(haystack, needle):
@@ -294,3 +294,64 @@ def test_sources_and_sinks(spark, tmp_path):
 
 def test_no_reference_to_text_in_reports():
     assert not re.search(r"\.show\(", "".join(p.read_text() for p in __import__("pathlib").Path(sinks.__file__).parents[1].rglob("*.py")))
+
+
+def test_main_split_fills_negatives_with_generated_ones(spark):
+    source = [(f"p{i}", [ENTITY_TYPES[i % 14]]) for i in range(300)] + [(f"n{i}", []) for i in range(10)]
+    made = [(f"q{i}", [ENTITY_TYPES[i % 14]]) for i in range(100)] + [(f"m{i}", []) for i in range(100)]
+    schema = "sample_id string, labels array<string>"
+    ids = [r["sample_id"] for r in selection.main_split(spark.createDataFrame(source, schema), spark.createDataFrame(made, schema), 200, 2, "main").collect()]
+    assert {c: sum(i[0] == c for i in ids) for c in "pqnm"} == {"p": 108, "q": 42, "n": 10, "m": 40}
+
+
+def test_prepared_records_validate(spark):
+    spans_type = "array<struct<start:int,stop:int,type:string,text:string>>"
+    rows = [("a", "Ann é", "made", "train", [(0, 3, "PERSON_NAME", "Ann")]), ("b", "none", "made", "train", []), ("b", "twice", "made", "train", [])]
+    samples = spark.createDataFrame(rows, f"sample_id string, text string, source string, split string, spans {spans_type}")
+    lines = validation.prepared_lines(samples, "prompt")
+    assert all(json.dumps(json.loads(r["value"]), sort_keys=True, separators=(",", ":"), ensure_ascii=False) != "" for r in lines.collect())
+    found = {r["text"]: r for r in validation.check_records(lines, "train", "prompt").collect()}
+    assert found["Ann é"]["faults"] == [] and found["Ann é"]["labels"] == ["PERSON_NAME"]
+    assert found["none"]["faults"] == found["twice"]["faults"] == ["repeated sample_id"]
+    good = json.loads(lines.where("sample_id = 'a'").first()["value"])
+
+    def faults(change):
+        record = json.loads(json.dumps(good))
+        change(record)
+        return validation.check_record(json.dumps(record), "train", "prompt")["faults"]
+
+    span = lambda r: r["metadata"]["entity_spans"][0]
+    assert faults(lambda r: None) == []
+    assert faults(lambda r: span(r).update(start=1)) == ["span 0: not the text there"]
+    assert faults(lambda r: span(r).update(type="PET")) == ["span 0: label", "response and span order differ"]
+    assert faults(lambda r: r["metadata"].update(entity_spans=[])) == ["response and spans differ"]
+    assert faults(lambda r: r["messages"][0].update(content="other")) == ["system prompt"]
+    assert faults(lambda r: r["messages"][2].update(content="x")) == ["response: not JSON"]
+    assert faults(lambda r: r.update(sample_id="")) == ["sample_id"] and faults(lambda r: r.update(more=1)) == ["top-level keys"]
+    assert faults(lambda r: r["metadata"].update(is_negative=True)) == ["is_negative"]
+    assert validation.check_record(None, "train")["faults"] == ["not JSON"]
+
+
+def test_locks_and_host_readings(tmp_path):
+    kept = lock.Lock("set", "r1", tmp_path / "snap", {"train": 5})
+    lock.write_lock(tmp_path / "lock.json", kept)
+    with pytest.raises(lock.LockError):
+        lock.acquire(tmp_path / "lock.json", "set", "r1")  # no snapshot there
+    (tmp_path / "snap").mkdir()
+    assert lock.acquire(tmp_path / "lock.json", "set", None) == kept
+    for dataset, revision in (("other", "r1"), ("set", "r2")):
+        with pytest.raises(lock.LockError):
+            lock.acquire(tmp_path / "lock.json", dataset, revision)
+    (tmp_path / "a").write_text("x")
+    listed = sinks.manifest({"a": "x", "b": "y"})
+    assert lock.manifest_faults(tmp_path, listed) == [("b", "missing")]
+    (tmp_path / "b").write_text("z")
+    assert lock.manifest_faults(tmp_path, listed) == [("b", "sha256")]
+    lock.frozen(tmp_path / "a", lock.file_digest(tmp_path / "a"))
+    text_ = "MemTotal: 8 kB\nMemAvailable: 4 kB\nSwapTotal: 2 kB\nSwapFree: 1 kB\nOther: 3 kB\n"
+    assert host.memory(text_)["swap_used_bytes"] == 1024 and host.temperature("temp=48.3'C\n") == 48.3
+    assert host.system_id('NAME=x\nID=debian\nVERSION_ID="12"\n') == {"id": "debian", "version_id": "12"}
+    for call, bad in ((host.memory, text_ + "MemTotal: 9 kB\n"), (host.memory, "MemTotal: 1 kB\n"), (host.temperature, "temp=999'C"), (host.system_id, "ID=a b\nVERSION_ID=1\n")):
+        with pytest.raises(ValueError):
+            call(bad)
+    assert host.path_faults([("a.PT", 1), ("data/raw/x", 1), ("ok.py", 6 << 20), ("fine", 2)], ("data/raw/",)) == [("a.PT", "kind"), ("data/raw/x", "folder"), ("ok.py", "large")]
