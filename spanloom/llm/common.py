@@ -6,6 +6,8 @@ also ones whose names clash with an output or differ only in case, never reach i
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -67,6 +69,13 @@ def discard(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: idle workers stay, and share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``limit`` bytes in one column."""
     if not batch.num_rows:
@@ -89,7 +98,7 @@ def map_slices(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict],
             for part in slices(batch, text, limit):
                 out = fn(part)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in out.values()], names=list(out))
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -104,6 +113,7 @@ def filter_rows(df: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndar
         for batch in batches:
             for part in slices(batch, at):
                 yield part.filter(pa.array(keep(full_texts(part.column(at)))))
+            give_back()
 
     return plain.mapInArrow(run, plain.schema).toDF(*names)
 
