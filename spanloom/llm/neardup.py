@@ -183,7 +183,7 @@ def block_links(open_: DataFrame, sets: DataFrame, how: Shingling) -> DataFrame:
     of a hub's groups, their component, and if it is the hub's. Classes outside the hub's
     component meet all classes of the group, in blocks of about BLOCK by BLOCK."""
     sizes = open_.groupBy("hub").agg(F.count("*").alias("all"), F.count_if(~F.col("main")).alias("rest")).where("rest > 0")
-    sizes = sizes.select("hub", F.ceil(F.col("all") / BLOCK).alias("columns"), F.ceil(F.col("rest") / BLOCK).alias("rows"))
+    sizes = staged(sizes.select("hub", F.ceil(F.col("all") / BLOCK).alias("columns"), F.ceil(F.col("rest") / BLOCK).alias("rows")), "sizes")
     dealt = open_.join(sizes, "hub")
     place = lambda count: F.pmod(F.xxhash64("id"), F.col(count))
     left = dealt.where("not main").select("hub", "id", "group", F.lit(True).alias("side"), place("rows").alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"))
@@ -255,8 +255,10 @@ def near_duplicates(df: DataFrame, how: Shingling = Shingling(), id_col: str = "
     links = verified(nearest, sets, how)
     found = components(links)
     rest = labelled(spokes, found, "rep", "hub").where("rep_of != hub_of").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    links = staged(links.union(verified(rest.join(nearest, ["a", "b"], "left_anti"), sets, how)), "links")
-    found = components(links)
+    extra = verified(rest.join(nearest, ["a", "b"], "left_anti"), sets, how)
+    if not extra.isEmpty():
+        links = links.union(extra)
+        found = components(links)
 
     # groups that still hold several components
     open_ = labelled(members.where("rep != hub").select("hub", "rep").distinct(), found, "hub", "rep")
