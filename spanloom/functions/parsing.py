@@ -61,9 +61,10 @@ def parse_response(raw: str | None) -> tuple[bool, bool, list[dict], str | None]
     for k, item in enumerate(items):
         if not isinstance(item, dict) or item.keys() != {"type", "text"}:
             return True, False, [], f"item {k}: keys"
-        if not isinstance(item["text"], str) or not item["text"]:
+        value, label = item["text"], item["type"]
+        if not (isinstance(value, str) and value):
             return True, False, [], f"item {k}: text"
-        if not isinstance(item["type"], str) or item["type"] not in _TYPES:
+        if not (isinstance(label, str) and label in _TYPES):
             return True, False, [], f"item {k}: type"
     return True, True, [{"type": x["type"], "text": x["text"]} for x in items], None
 

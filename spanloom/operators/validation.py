@@ -20,6 +20,7 @@ POLICY_VERSION, PROMPT_VERSION = "pii-taxonomy-v1", "pii-extraction-v1"
 REQUIRED_METADATA = frozenset("source source_split is_negative policy_version prompt_version entity_spans".split())
 CHECKED = "struct<faults:array<string>,usable:boolean,sample_id:string,text:string,is_negative:boolean,labels:array<string>,family:string,kind:string>"
 _TYPES = frozenset(ENTITY_TYPES)
+_SPAN_KEYS = frozenset("start end text type".split())
 
 
 def _messages(found) -> list[str] | None:
@@ -37,7 +38,7 @@ def _messages(found) -> list[str] | None:
 def _span_faults(text: str, spans: list) -> tuple[list[str], list[dict]]:
     faults, said, last = [], [], -1
     for k, s in enumerate(spans):
-        if not isinstance(s, dict) or s.keys() != {"type", "text", "start", "end"}:
+        if not isinstance(s, dict) or s.keys() != _SPAN_KEYS:
             faults.append(f"span {k}: shape")
             continue
         label, value, start, end = s["type"], s["text"], s["start"], s["end"]
@@ -50,7 +51,7 @@ def _span_faults(text: str, spans: list) -> tuple[list[str], list[dict]]:
             if start < last:
                 faults.append(f"span {k}: overlap or order")
             last = end
-        said.append({"type": label, "text": value})
+        said.append(dict(text=value, type=label))
     return faults, said
 
 
@@ -91,8 +92,8 @@ def check_record(value: str | None, split: str, system_prompt: str | None = None
     for key, wanted in (("source_split", split), ("policy_version", POLICY_VERSION), ("prompt_version", PROMPT_VERSION)):
         if meta[key] != wanted:
             out["faults"].append(key)
-    spans = meta["entity_spans"]
-    if not isinstance(spans, list) or len(spans) != len(said["entities"]):
+    spans, wanted = meta["entity_spans"], len(said["entities"])
+    if not (isinstance(spans, list) and len(spans) == wanted):
         return stop("response and spans differ")
     faults, again = _span_faults(texts[1], spans)
     out["faults"] += faults

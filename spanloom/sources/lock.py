@@ -30,7 +30,7 @@ def read_lock(path: str | Path) -> Lock:
     """The lock at a path; a relative snapshot is resolved beside the lock."""
     path = Path(path)
     try:
-        found = json.loads(path.read_text(encoding="utf-8"))
+        found = json.loads(path.read_bytes())
     except (OSError, ValueError) as e:
         raise LockError("the lock can't be read") from e
     if not isinstance(found, dict) or found.get("schema_version") != SCHEMA_VERSION:

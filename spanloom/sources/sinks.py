@@ -48,7 +48,7 @@ def append_new(df: DataFrame, path: str, key: str = "sample_id") -> int:
 
 
 def pretty(document: dict) -> str:
-    return json.dumps(document, indent=2, sort_keys=True, ensure_ascii=False) + "\n"
+    return json.dumps(document, ensure_ascii=False, sort_keys=True, indent=2) + "\n"
 
 
 def write_text(path: str | Path, text: str) -> None:

@@ -71,12 +71,12 @@ def test_policy_and_classification(spark):
 
 
 def test_parsers_reject_what_is_not_strict(spark):
-    assert parsing.parse_entities('[{"entity":"x","types":["a"]}]') == ([{"entity": "x", "types": ["a"]}], None)
-    for bad in (None, "", "f(x)", "{}", '[{"entity":"x"}]', '[{"entity":"x","types":"a"}]', '[{"entity":"","types":["a"]}]', '[{"entity":"x","types":[]}]', '[{"entity":"x","types":[""]}]', '[{"entity":"x","types":["a"],"k":1}]'):
+    assert parsing.parse_entities('[{"types":["a"],"entity":"x"}]') == ([{"entity": "x", "types": ["a"]}], None)
+    for bad in (None, "", "f(x)", "{}", '[{"entity":"x"}]', '[{"types":"a","entity":"x"}]', '[{"types":["a"],"entity":""}]', '[{"types":[],"entity":"x"}]', '[{"types":[""],"entity":"x"}]', '[{"types":["a"],"entity":"x","k":1}]'):
         assert parsing.parse_entities(bad)[1], bad
     assert parsing.parse_response('{"entities":[]}')[:2] == (True, True)
     assert parsing.parse_response(None)[:2] == (False, False)
-    df = spark.createDataFrame([('{"entities":[{"type":"EMAIL","text":"a"}]}',), ("nope",), (None,)], "raw string")
+    df = spark.createDataFrame([('{"entities":[{"text":"a","type":"EMAIL"}]}',), ("nope",), (None,)], "raw string")
     got = df.select(parsing.response_column(F.col("raw")).alias("p")).collect()
     assert [(r["p"]["schema_valid"], len(r["p"]["entities"])) for r in got] == [(True, 1), (False, 0), (False, 0)]
 
@@ -233,7 +233,7 @@ def test_documents(spark):
 def test_profile_quantiles(spark):
     df = spark.createDataFrame([("a", x) for x in (1, 2, 3, 4, 10, 11)] + [("b", 5)], "g string, x long")
     row = {r["g"]: r for r in profile.length_summary(df, "x", "g").collect()}
-    assert [row["a"][c] for c in ("p50", "p75", "p90", "p95", "p99", "max")] == [3, 10, 10, 11, 11, 11]
+    assert [row["a"][c] for c in "p50 p75 p90 p95 p99 max".split()] == [3, 10, 10, 11, 11, 11]
     assert row["b"]["p99"] == 5 and row["b"]["mean"] == 5.0
 
 
@@ -263,7 +263,7 @@ def test_generators(spark):
 
 def test_sources_and_sinks(spark, tmp_path):
     lines = ['{"sample_id":"a","raw_output":"x"}', "[1]", "broken", '{"sample_id":"b","sample_id":"c","raw_output":"y"}', '{"sample_id":"a","raw_output":NaN}', '{"sample_id":5,"raw_output":"z"}']
-    (tmp_path / "in.jsonl").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    (tmp_path / "in.jsonl").write_bytes("".join(f"{x}\n" for x in lines).encode())
     strict = files.read_jsonl(spark, str(tmp_path / "in.jsonl")).orderBy("line").collect()
     assert [r["fault"] for r in strict] == [None, "not an object", "not JSON", None, None, None] and [r["line"] for r in strict] == [1, 2, 3, 4, 5, 6]
     hard = files.read_jsonl(spark, str(tmp_path / "in.jsonl"), hardened=True).orderBy("line").collect()
@@ -309,7 +309,7 @@ def test_prepared_records_validate(spark):
     rows = [("a", "Ann é", "made", "train", [(0, 3, "PERSON_NAME", "Ann")]), ("b", "none", "made", "train", []), ("b", "twice", "made", "train", [])]
     samples = spark.createDataFrame(rows, f"sample_id string, text string, source string, split string, spans {spans_type}")
     lines = validation.prepared_lines(samples, "prompt")
-    assert all(json.dumps(json.loads(r["value"]), sort_keys=True, separators=(",", ":"), ensure_ascii=False) != "" for r in lines.collect())
+    assert all(list(json.loads(r["value"])) == ["messages", "metadata", "sample_id"] for r in lines.collect())
     found = {r["text"]: r for r in validation.check_records(lines, "train", "prompt").collect()}
     assert found["Ann é"]["faults"] == [] and found["Ann é"]["labels"] == ["PERSON_NAME"]
     assert found["none"]["faults"] == found["twice"]["faults"] == ["repeated sample_id"]
@@ -350,7 +350,7 @@ def test_locks_and_host_readings(tmp_path):
     lock.frozen(tmp_path / "a", lock.file_digest(tmp_path / "a"))
     text_ = "MemTotal: 8 kB\nMemAvailable: 4 kB\nSwapTotal: 2 kB\nSwapFree: 1 kB\nOther: 3 kB\n"
     assert host.memory(text_)["swap_used_bytes"] == 1024 and host.temperature("temp=48.3'C\n") == 48.3
-    assert host.system_id('NAME=x\nID=debian\nVERSION_ID="12"\n') == {"id": "debian", "version_id": "12"}
+    assert host.system_id('NAME=x\nID=alpha\nVERSION_ID="3.1"\n') == dict(version_id="3.1", id="alpha")
     for call, bad in ((host.memory, text_ + "MemTotal: 9 kB\n"), (host.memory, "MemTotal: 1 kB\n"), (host.temperature, "temp=999'C"), (host.system_id, "ID=a b\nVERSION_ID=1\n")):
         with pytest.raises(ValueError):
             call(bad)

@@ -29,7 +29,7 @@ def test_gold_as_prediction_scores_one(spark):
 
 def test_missing_and_invalid_predictions(spark):
     samples, gold = fixture(spark)
-    predictions = spark.createDataFrame([(1, json.dumps({"entities": [{"type": "EMAIL", "text": "Ann"}]})), (2, "```"), (9, "{}")], "sample_id long, raw_output string")
+    predictions = spark.createDataFrame([(1, json.dumps({"entities": [{"text": "Ann", "type": "EMAIL"}]})), (2, "```"), (9, "{}")], "sample_id long, raw_output string")
     run = evaluation.evaluate(samples, gold, predictions)
     assert scoring.coverage(samples, predictions).first().asDict() == {"shared": 2, "missing": 1, "extra": 1, "repeated": 0}
     assert {(r["sample_id"], r["kind"], r["cause"]) for r in run.errors.collect()} == {
