@@ -7,8 +7,11 @@ payloads the smallest page_id is the response and the others are revisits of it.
 Reading cuts files at every place where the version line occurs, also inside payloads, so
 each split of a file can be scanned by its own task. A task emits for each candidate the
 offset at which the record would end by its headers. Offsets of a split are shifted by the
-bytes of the splits before it. From the file's start, pointer jumping over record -> successor
-marks what is reachable; candidates that no chain reaches lie inside payloads and are dropped.
+bytes of the splits before it. Pointer jumping over record -> successor gives each candidate
+the offset at which its chain leaves its split; jumping over these offsets from the file's start
+finds where the file's chain enters each split, and jumping from there marks what is reachable.
+Candidates that the chain does not reach lie inside payloads and are dropped. No task holds
+more offsets than a split's candidates, or a file's entries into splits.
 
 Defined cases: a null payload is empty; rows with the same payload and the same smallest page_id
 are all responses; a null page_id ranks last, and a group of null ids only is all responses; a
@@ -35,6 +38,8 @@ MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
 #: Bytes of duplicate digests that may be sent to every task; more are joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
+#: Bytes of a file in which pieces look for their record together.
+STRETCH = 1 << 20
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -159,18 +164,29 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     return _pieces(spark, path).mapInArrow(run, CANDIDATE)
 
 
-def reachable(starts: np.ndarray, following: np.ndarray, end: int) -> np.ndarray:
-    """Which candidates the chain from the file's start reaches, by pointer jumping.
+def _jumps(starts: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """The place of each candidate's successor among sorted starts; their number if there is none."""
+    at = np.searchsorted(starts, following)
+    return np.where((at < starts.size) & (starts[np.minimum(at, starts.size - 1)] == following), at, starts.size)
+
+
+def leaving(starts: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """The first offset on each candidate's chain at which no candidate starts, by pointer jumping."""
+    jump = _jumps(starts, following)
+    last = np.where(jump < starts.size, jump, np.arange(starts.size))
+    while (last[last] != last).any():
+        last = last[last]
+    return following[last]
+
 
-    starts: sorted offsets; following: the offset at which each would end; end: the file's size.
-    Marks double their reach in each round, so a chain of n records takes log2(n) rounds."""
+def reachable(starts: np.ndarray, following: np.ndarray, origin: int = 0) -> np.ndarray:
+    """Which candidates the chain from the one at ``origin`` reaches, by pointer jumping.
+
+    starts: sorted offsets; following: the offset at which each would end. Marks double their
+    reach in each round, so a chain of n records takes log2(n) rounds."""
     n = starts.size
-    at = np.searchsorted(starts, following)
-    jump = np.where((at < n) & (starts[np.minimum(at, n - 1)] == following), at, n)
-    jump = np.append(jump, n)
-    good = np.zeros(n + 1, bool)
-    if n and starts[0] == 0:
-        good[0] = True
+    jump = np.append(_jumps(starts, following), n) if n else np.zeros(1, np.int64)
+    good = np.append(starts == origin, False)
     while True:
         more = good.copy()
         more[jump[good]] = True
@@ -180,22 +196,47 @@ def reachable(starts: np.ndarray, following: np.ndarray, end: int) -> np.ndarray
         good, jump = more, doubled
 
 
+def _offsets(rows: pa.Table, *columns: str) -> list[np.ndarray]:
+    """Columns in the order of their starts; -1 for null."""
+    found = [rows[c].combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False) for c in columns]
+    order = np.argsort(found[0])
+    return [c[order] for c in found]
+
+
+def _of(rows: pa.Table, starts: np.ndarray, **columns: np.ndarray) -> pa.Table:
+    """Offsets of one file."""
+    return pa.table({"file": pa.array([rows["file"][0].as_py()] * starts.size, pa.string()), "start": pa.array(starts, pa.int64())} | columns)
+
+
 def chained(found: DataFrame) -> DataFrame:
-    """The candidates that a chain from their file's start reaches, with their offset."""
+    """The candidates that the chain from their file's start reaches, with their offset."""
     splits = found.groupBy("file", "block").agg(F.sum(F.col("n_bytes") + len(MAGIC)).alias("bytes"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("base", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
     # the first piece of a file stands before its first version line
     placed = found.join(splits, ["file", "block"]).withColumn("start", F.col("base") + F.col("at") - len(MAGIC)).where("start >= 0")
-    links = placed.select("file", "start", (F.col("start") + F.col("next")).alias("following"))
 
-    def run(of_file: pa.Table) -> pa.Table:  # offsets of one file only
-        starts, following = of_file["start"].to_numpy(), of_file["following"].fill_null(-1).to_numpy()
-        order = np.argsort(starts)
-        good = reachable(starts[order], following[order], int(following.max(initial=0)))
-        return pa.table({"file": of_file["file"].combine_chunks().take(pa.array(order[good])), "start": starts[order][good]})
+    def out_of(split: pa.Table) -> pa.Table:  # one split's candidates
+        starts, following = _offsets(split, "start", "following")
+        return _of(split, starts, block=pa.array(np.full(starts.size, split["block"][0].as_py())), following=following, leaves=leaving(starts, following))
+
+    links = placed.select("file", "block", "start", (F.col("start") + F.col("next")).alias("following"))
+    links = staged(links.groupBy("file", "block").applyInArrow(out_of, "file string, start long, block long, following long, leaves long"), "links")
+
+    def entered(of_file: pa.Table) -> pa.Table:  # about one entry for each of a file's splits
+        starts, leaves, block = _offsets(of_file, "start", "leaves", "block")
+        good = reachable(starts, leaves)
+        return _of(of_file, starts[good], block=block[good])
+
+    aims = links.select("file", F.col("leaves").alias("start")).union(links.select("file", F.lit(0).cast("long")).distinct()).distinct()
+    entries = links.join(aims, ["file", "start"]).select("file", "block", "start", "leaves").groupBy("file").applyInArrow(entered, "file string, start long, block long")
+
+    def within(split: pa.Table) -> pa.Table:
+        starts, following = _offsets(split, "start", "following")
+        return _of(split, starts[reachable(starts, following, split["entry"][0].as_py())])
 
-    on_chain = links.groupBy("file").applyInArrow(run, "file string, start long")
+    entered_at = entries.select("file", "block", F.col("start").alias("entry"))
+    on_chain = links.join(entered_at, ["file", "block"]).groupBy("file", "block").applyInArrow(within, "file string, start long")
     return placed.join(on_chain, ["file", "start"])
 
 
@@ -220,10 +261,13 @@ def spanned(spark: SparkSession, path: str, found: DataFrame, spanning: DataFram
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("base", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
     placed = found.join(splits, ["file", "block"]).select("file", "block", "k", (F.col("base") + F.col("at") - len(MAGIC)).alias("piece"))
-    # records of a file don't overlap: the record of a piece is the last that starts at or before it
-    marks = spanning.select("file", F.col("start").alias("piece"), F.lit(None).cast("long").alias("block"), F.lit(None).cast("long").alias("k"), F.struct("start", (F.col("start") + F.col("next")).alias("stop")).alias("record"))
-    rows = placed.select("file", "piece", "block", "k", F.lit(None).cast("struct<start:long,stop:long>").alias("record")).unionByName(marks)
-    upto = Window.partitionBy("file").orderBy("piece", F.col("k").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    # records of a file don't overlap: the record of a piece is the last that starts at or before
+    # it. Pieces and records meet in stretches of a file, a record in each stretch that it touches.
+    stretch = lambda offset: F.floor(offset / STRETCH)
+    marks = spanning.select("file", F.col("start").alias("piece"), F.struct("start", (F.col("start") + F.col("next")).alias("stop")).alias("record"))
+    marks = marks.withColumn("stretch", F.explode(F.sequence(stretch(F.col("piece")), stretch(F.col("record.stop") - 1))))
+    rows = placed.withColumn("stretch", stretch(F.col("piece"))).unionByName(marks, allowMissingColumns=True)
+    upto = Window.partitionBy("file", "stretch").orderBy("piece", F.col("k").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     owned = rows.withColumn("record", F.last("record", ignorenulls=True).over(upto)).where("k is not null and record is not null and piece < record.stop")
     parts = staged(owned.select("file", "block", "k", "piece", F.col("record.start").alias("start"), F.col("record.stop").alias("stop")), "parts")
 

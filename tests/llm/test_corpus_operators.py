@@ -202,10 +202,14 @@ def test_warc_round_trip(spark, split):
 
 def test_pointer_jumping():
     starts, following = np.array([0, 5, 9, 20, 30]), np.array([9, 9, 20, 30, 41])
-    assert warc.reachable(starts, following, 41).tolist() == [True, False, True, True, True]
-    assert warc.reachable(np.array([3]), np.array([9]), 9).tolist() == [False]
+    assert warc.reachable(starts, following).tolist() == [True, False, True, True, True]
+    assert warc.reachable(starts, following, 5).tolist() == [False, True, True, True, True]
+    assert warc.reachable(np.array([3]), np.array([9])).tolist() == [False]
+    assert warc.leaving(starts, following).tolist() == [41] * 5
+    assert warc.leaving(starts, np.array([9, 7, 20, -1, 41])).tolist() == [-1, 7, -1, -1, 41]
     n = 1000
-    assert warc.reachable(np.arange(n) * 2, np.arange(n) * 2 + 2, 2 * n).all()
+    assert warc.reachable(np.arange(n) * 2, np.arange(n) * 2 + 2).all()
+    assert (warc.leaving(np.arange(n) * 2, np.arange(n) * 2 + 2) == 2 * n).all()
 
 
 def test_license_scan(spark):
