@@ -31,6 +31,8 @@ from .license_texts import TEMPLATES
 SHINGLE_WORDS = 5
 CONTAINED = 0.8
 BANDS = 24
+#: Window starts of a block: texts are cut into blocks that overlap by the longest window.
+BLOCK = 1024
 WORD = r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*"
 
 
@@ -51,9 +53,10 @@ def with_keys(df: DataFrame, text_col: str = "text") -> DataFrame:
     return held(df, "keys", runs).drop("words", text_col)
 
 
-def window_plan(largest: int) -> list[tuple[int, int, int]]:
-    """(class, window length, stride), up to the class of the largest template."""
-    return [(c, (1 << (c + 1)) + max(1, (1 << c) >> 1), max(1, (1 << c) >> 1)) for c in range(largest.bit_length())]
+def window_plan(classes: set[int]) -> list[tuple[int, int, int]]:
+    """(class, window length, stride) of each class that a template has."""
+    stride = lambda c: max(1, (1 << c) >> 1)
+    return [(c, (1 << (c + 1)) + stride(c), stride(c)) for c in sorted(classes or {0})]
 
 
 def template_rows(spark: SparkSession, templates: dict[str, str]) -> list[tuple[str, int, list[int]]]:
@@ -74,26 +77,34 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "do
 
     docs = with_keys(pick(df, doc_id=id_col, text=text_col).where("text is not null")).where(F.exists("keys", of_template))
 
-    # in each class, the starts of the windows that hold a template shingle
-    plan = window_plan(max((len(keys) for _, _, keys in known), default=1))
-    found = F.filter(F.transform("keys", lambda key, i: F.when(of_template(key), i)), lambda i: i.isNotNull())
-    docs = held(docs, "found", found)
+    # blocks of bounded size, so that a row never carries a long text's keys into its windows
+    plan = window_plan({c for _, c, _ in known})
+    longest = max((length for _, length, _ in plan), default=0)
+    parts = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("keys") - 1) / BLOCK).cast("int")),
+        lambda k: F.struct((k * BLOCK).alias("base"), F.slice("keys", k * BLOCK + 1, F.lit(BLOCK + longest)).alias("keys")),
+    )
+    blocks = docs.select("doc_id", F.explode(parts).alias("block")).select("doc_id", "block.base", "block.keys")
+    found = F.filter(F.transform("keys", lambda key, i: F.when(of_template(key), i + F.col("base"))), lambda i: i.isNotNull())
+    blocks = held(blocks.where(F.exists("keys", of_template)), "found", found)
 
     def starts(length: int, stride: int) -> Column:
+        """Of the windows that hold a template shingle, the starts that lie in the block."""
         around = F.flatten(
             F.transform(
                 "found",
                 lambda i: F.sequence(F.greatest(F.ceil((i - (length - 1)) / stride), F.lit(0)).cast("int"), F.floor(i / stride).cast("int")),
             )
         )
-        return F.transform(F.array_distinct(around), lambda k: k * stride)
+        at = F.transform(F.array_distinct(around), lambda k: k * stride)
+        return F.filter(at, lambda x: (x >= F.col("base")) & (x < F.col("base") + BLOCK))
 
     def of_class(c: int, length: int, stride: int) -> Column:
-        return F.transform(starts(length, stride), lambda at: F.struct(F.lit(c).alias("class"), at.alias("at"), F.lit(length).alias("length")))
+        window = lambda at: F.array_distinct(F.slice("keys", at - F.col("base") + 1, F.lit(length)))
+        return F.transform(starts(length, stride), lambda at: F.struct(F.lit(c).alias("class"), at.alias("at"), window(at).alias("window")))
 
     classes = F.flatten(F.array(*[of_class(*p) for p in plan]))
-    windows = docs.select("doc_id", "keys", F.explode(classes).alias("w"))
-    windows = held(windows, "window", F.array_distinct(F.slice("keys", F.col("w.at") + 1, F.col("w.length")))).select("doc_id", "w.class", "w.at", "window")
+    windows = blocks.select("doc_id", F.explode(classes).alias("w")).select("doc_id", "w.class", "w.at", "w.window")
 
     def bands(keys: Column) -> Column:
         def least(b: int) -> Column:
