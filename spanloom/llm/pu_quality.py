@@ -14,7 +14,7 @@ The fit uses a bounded sample (``MAX_LABELLED`` labelled and ``MAX_UNLABELLED``
 rows, those with the smallest hashes of their ids); every row is scored, on its whole text.
 
 Defined cases: texts without words (null, empty, blank) score 0; repeated rows are
-scored one by one; labels that are null, or whose id has no text, are left out; without any
+scored one by one, and an id counts once in the fit; labels that are null, or whose id has no text, are left out; without any
 usable label every other score is 0.5; an empty table gives an empty table.
 """
 
@@ -188,7 +188,8 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray,
         ends = np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)
         return {"doc_id": part.column(0).cast(pa.int64()), "y": part.column(2).cast(pa.int32()), "x": pa.ListArray.from_arrays(ends, x.ravel())}
 
-    got = map_slices(rows, schema, run).toArrow()
+    # one row for each id and side, however often an id is repeated: its largest features
+    got = map_slices(rows, schema, run).groupBy("doc_id", "y").agg(F.max("x").alias("x")).toArrow()
     # rows come in any order: sorted, equal data give an equal model
     x = np.array(got["x"].to_pylist(), np.float64).reshape(-1, len(FEATURES))
     y, ids = got["y"].to_numpy(), got["doc_id"].to_numpy()
