@@ -122,3 +122,30 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "do
     )
     best = F.max_by(F.struct("containment", "at"), F.struct(F.col("containment"), -F.col("at"))).alias("best")
     return met.groupBy("doc_id", "license").agg(best).select("doc_id", "license", F.col("best.containment").alias("containment"), F.col("best.at").cast("long").alias("first_word"))
+
+
+_QUOTED = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in sorted(TEMPLATES.items()))
+
+
+def _keys_sql(name: str, rows: str) -> str:
+    return rf"""
+    SELECT {name}, unnest(range(1, len(w) - {SHINGLE_WORDS - 2})) AS pos, array_to_string(w[pos : pos + {SHINGLE_WORDS - 1}], ' ') AS key
+    FROM (SELECT {name}, regexp_extract_all(lower(text), '{WORD}') AS w FROM {rows}) WHERE len(w) >= {SHINGLE_WORDS}"""
+
+
+#: All windows of all templates, without MinHash.
+SQL = rf"""
+WITH templates(license, text) AS (VALUES {_QUOTED}),
+known AS (SELECT DISTINCT license, key FROM ({_keys_sql("license", "templates")})),
+classed AS (SELECT license, count(*) AS m, floor(log2(count(*)) + 1e-9)::INT AS c FROM known GROUP BY license),
+shaped AS (SELECT *, greatest(1, (1 << c) // 2) AS stride, (1 << (c + 1)) + greatest(1, (1 << c) // 2) AS length FROM classed),
+keys AS (SELECT doc_id, pos - 1 AS pos, key FROM ({_keys_sql("doc_id", "documents")})),
+hits AS (SELECT k.doc_id, s.license, s.m, s.stride, s.length, k.pos, k.key FROM keys k JOIN known USING (key) JOIN shaped s USING (license)),
+windows AS (
+  SELECT doc_id, license, m, key, stride * unnest(range(greatest(0, ceil((pos - length + 1) / stride)::BIGINT), pos // stride + 1)) AS first_word FROM hits),
+held AS (
+  SELECT doc_id, license, first_word::BIGINT AS first_word, count(DISTINCT key)::DOUBLE / m AS containment FROM windows
+  GROUP BY doc_id, license, m, first_word HAVING count(DISTINCT key)::DOUBLE / m >= {CONTAINED})
+SELECT doc_id, license, containment, first_word FROM held
+QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, first_word) = 1
+"""

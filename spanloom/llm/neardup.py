@@ -280,3 +280,26 @@ def keep_first(df: DataFrame, how: Shingling = Shingling(), id_col: str = "doc_i
     plain = df.toDF(*[f"_{i}" for i in range(len(names))])
     stay = plain.join(gone, plain[f"_{names.index(id_col)}"] == gone["gone_id"], "left_anti")
     return stay.toDF(*names)
+
+
+def sql(how: Shingling) -> str:
+    """DuckDB SQL for ``near_duplicates`` of documents: all pairs that share a shingle."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+WITH RECURSIVE words_ AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{letters}', '{letters.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+runs AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {how.words - 1}, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END) + 1)) AS pos FROM words_),
+shingles AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[pos : pos + {how.words - 1}], ' ') AS shingle FROM runs),
+sizes AS (SELECT doc_id, count(*)::BIGINT AS n FROM shingles GROUP BY doc_id),
+both_ AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+links AS MATERIALIZED (
+  SELECT a, b FROM both_ JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both_.n >= {how.percent} * (x.n + y.n - both_.n)),
+sides AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, s.b FROM reached r JOIN sides s ON r.other = s.a),
+groups_ AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN groups_ USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""

@@ -12,10 +12,11 @@ from . import bpe, chat, licenses, mixing, neardup, ogg, pu_quality, repetition,
 from .common import table
 
 TOKEN_LIMIT = 512
+NEAR = neardup.Shingling(words=4, percent=80)
 
 
 def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Shingling(words=4, percent=80))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), NEAR)
 
 
 def op2_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +62,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_tree": chat.SQL, "op3_warc_chain": warc.SQL, "op6_fair_mixing": mixing.SQL}
+    return {
+        "op1_minhash_neardup": neardup.sql(NEAR),
+        "op2_chat_tree": chat.SQL,
+        "op3_warc_chain": warc.SQL,
+        "op4_license_scan": licenses.SQL,
+        "op6_fair_mixing": mixing.SQL,
+        "op7_repetition_rules": repetition.SQL,
+    }

@@ -159,3 +159,35 @@ def repetition_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_rows(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows whose text passes, with all their columns."""
     return filter_rows(df, text_col, lambda texts: measure(texts)["kept"])
+
+
+_LENGTHS = (3, *NGRAM_LIMITS)
+_GRAMS = ", ".join("word || ' ' || " + " || ' ' || ".join(f"lead(word, {k}) OVER o" for k in range(1, n)) + f" AS gram_{n}" for n in _LENGTHS)
+_COVERS = "".join(
+    f"""
+cover_{n}_ AS (
+  SELECT rid, sum(CASE WHEN inside THEN length(word) ELSE 0 END) AS covered, sum(inside::INT) AS n_inside FROM (
+    SELECT rid, word, max(twice) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS inside FROM (
+      SELECT rid, pos, word, gram_{n} IS NOT NULL AND count(*) OVER (PARTITION BY rid, gram_{n}) > 1 AS twice FROM grams_))
+  GROUP BY rid),"""
+    for n in _LENGTHS
+)
+SQL = rf"""
+WITH rows_ AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, len(words) AS n FROM documents),
+words_ AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM rows_),
+grams_ AS MATERIALIZED (SELECT rid, pos, word, {_GRAMS} FROM words_ WINDOW o AS (PARTITION BY rid ORDER BY pos)),
+lines_ AS (
+  SELECT rid, length(line) AS chars, row_number() OVER (PARTITION BY rid, line) > 1 AS again
+  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM rows_) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+by_line AS (SELECT rid, sum(again::INT) AS n_dup_lines, sum(CASE WHEN again THEN chars ELSE 0 END) AS covered, sum(chars) AS chars FROM lines_ GROUP BY rid),
+by_word AS (SELECT rid, sum(length(word)) AS word_chars FROM words_ GROUP BY rid),{_COVERS}
+measured AS (
+  SELECT doc_id, n::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(cover_3_.n_inside, 0)::BIGINT AS n_repeat_words,
+    coalesce(l.covered::DOUBLE / greatest(l.chars, 1), 0) AS line_cover,
+    {", ".join(f"coalesce(cover_{n}_.covered::DOUBLE / greatest(word_chars, 1), 0) AS cover_{n}" for n in NGRAM_LIMITS)}
+  FROM rows_ LEFT JOIN by_line l USING (rid) LEFT JOIN by_word USING (rid) {" ".join(f"LEFT JOIN cover_{n}_ USING (rid)" for n in _LENGTHS)}),
+judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured)
+SELECT *, NOT base_failed AND line_cover <= {LINE_LIMIT} AND {" AND ".join(f"cover_{n} <= {most}" for n, most in NGRAM_LIMITS.items())} AS kept FROM judged
+"""
