@@ -86,3 +86,30 @@ def review_selection(df: DataFrame, reasons: dict[str, tuple[Column, int]], ref:
         own = df.where(condition).select(ref, F.lit(name).alias("reason")).distinct().orderBy(seeded_key(f"{seed}:{name}", ref), ref).limit(cap)
         chosen = own if chosen is None else chosen.unionByName(own)
     return chosen.groupBy(ref).agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
+
+
+def capped(groups: DataFrame, key: str, most: int = 100) -> DataFrame:
+    """The first groups by key, for a report."""
+    return groups.orderBy(key).limit(most)
+
+
+def unique_documents(df: DataFrame, *keys: str) -> DataFrame:
+    """One row: documents, and the number of different values of each key."""
+    return df.agg(F.count("*").alias("documents"), *[F.countDistinct(k).alias(k) for k in keys])
+
+
+#: Nodes under one node of a digest tree; its levels hold CHILDREN ** LEVELS ids.
+CHILDREN, LEVELS = 4096, 3
+
+
+def digest_tree(df: DataFrame, order: str, value: str) -> DataFrame:
+    """One digest that depends on all values and their order by an integer id: runs of CHILDREN
+    ids are folded in parallel, then runs of those, so no task folds more than a run. Rows that
+    agree in id and value are counted; a null value is empty; a null id comes first."""
+    rows = df.select(F.coalesce(F.col(order).cast("long"), F.lit(-1)).alias("node"), F.sha2(F.coalesce(value, F.lit("")), 256).alias("digest"))
+    counted = rows.groupBy("node", "digest").agg(F.count("*").alias("n"))
+    rows = counted.select("node", F.concat_ws(":", "digest", F.col("n").cast("string")).alias("digest"))
+    folded = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", "digest"))), lambda x: x["digest"]), ","), 256).alias("digest")
+    for _ in range(LEVELS - 1):
+        rows = rows.groupBy(F.floor(F.col("node") / CHILDREN).alias("above")).agg(folded).withColumnRenamed("above", "node")
+    return rows.agg(folded)

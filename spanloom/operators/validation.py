@@ -218,3 +218,9 @@ def domain_difference(rows: DataFrame, label: str = "label") -> DataFrame:
 def first_faults(faults: DataFrame, *order: str, most: int = 200) -> DataFrame:
     """The first faults for a report."""
     return faults.orderBy(*order).limit(most)
+
+
+def against_expected(expected: DataFrame, found: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, wanted, found, agrees) of each expectation; what is not found counts as 0."""
+    both = expected.select(key, F.col(value).alias("wanted")).join(found.select(key, F.col(value).alias("found")), key, "left")
+    return both.select(key, "wanted", F.coalesce("found", F.lit(0)).alias("found")).withColumn("agrees", F.col("wanted") == F.col("found"))
