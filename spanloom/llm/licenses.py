@@ -12,7 +12,9 @@ when the window holds 0.8 of the template. With BANDS = 24 bands of one row each
 MinHash signatures meet with probability 1 - (1 - 0.29)^24 > 0.9997; neighbouring windows give
 further chances. What meets is verified by exact containment of the template's shingles.
 
-Only windows that hold a shingle of some template are hashed: any other has containment 0.
+Only windows that hold a shingle of some template are hashed: any other has containment 0. And
+only texts with a cue word are cut into shingles: cue words are chosen so that more than 0.2 of
+each template's shingles hold one, so a text without any contains less than 0.8 of a template.
 
 Defined cases: null, empty and short texts (under five words) match nothing; repeated rows with
 one id are one document; a row with a null id is scanned and reported with that id; ties
@@ -22,6 +24,10 @@ ignored; a text is never cut short.
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,14 +49,18 @@ def held(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def with_keys(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds keys: hashes of the runs of five words of a text without nulls, in order."""
-    df = held(df, "words", F.regexp_extract_all(F.lower(text_col), F.lit(WORD), F.lit(0)))
+def words_of(lowered: str) -> Column:
+    return F.regexp_extract_all(F.col(lowered), F.lit(WORD), F.lit(0))
+
+
+def with_keys(df: DataFrame, lowered: str = "lowered") -> DataFrame:
+    """Adds keys: hashes of the runs of five words of a lower-case text without nulls, in order."""
+    df = held(df, "words", words_of(lowered))
     runs = F.transform(
         F.slice("words", F.lit(1), F.greatest(F.size("words") - (SHINGLE_WORDS - 1), F.lit(0))),
         lambda w, i: F.xxhash64(w, *[F.get("words", i + k) for k in range(1, SHINGLE_WORDS)]),
     )
-    return held(df, "keys", runs).drop("words", text_col)
+    return held(df, "keys", runs).drop("words", lowered)
 
 
 def window_plan(classes: set[int]) -> list[tuple[int, int, int]]:
@@ -59,23 +69,42 @@ def window_plan(classes: set[int]) -> list[tuple[int, int, int]]:
     return [(c, (1 << (c + 1)) + stride(c), stride(c)) for c in sorted(classes or {0})]
 
 
-def template_rows(spark: SparkSession, templates: dict[str, str]) -> list[tuple[str, int, list[int]]]:
-    """(name, class, distinct shingle keys) of each template of at least one shingle. The
-    templates are a constant of the code, so this is a few thousand values."""
-    rows = spark.createDataFrame(sorted(templates.items()), "license string, text string")
-    keyed = with_keys(rows).select("license", F.array_distinct("keys").alias("keys")).collect()
-    return [(r["license"], len(r["keys"]).bit_length() - 1, list(r["keys"])) for r in keyed if r["keys"]]
+def template_rows(spark: SparkSession, templates: dict[str, str]) -> tuple[list[tuple[str, int, list[int]]], list[str]]:
+    """(name, class, distinct shingle keys) of each template of at least one shingle, and the
+    cue words. The templates are a constant of the code, so this is a few thousand values."""
+    rows = spark.createDataFrame(sorted(templates.items()), "license string, text string").select("license", F.lower("text").alias("lowered"))
+    keyed = with_keys(rows.withColumn("said", words_of("lowered"))).select("license", "said", F.array_distinct("keys").alias("keys")).collect()
+    known = [r for r in keyed if r["keys"]]
+    return [(r["license"], len(r["keys"]).bit_length() - 1, list(r["keys"])) for r in known], cue_words([list(r["said"]) for r in known])
+
+
+def cue_words(texts: list[list[str]]) -> list[str]:
+    """A few words, long ones first, such that a text without any of them can't hold CONTAINED
+    of the shingles of one of these texts."""
+    left = [{tuple(w[i : i + SHINGLE_WORDS]) for i in range(len(w) - SHINGLE_WORDS + 1)} for w in texts]
+    sizes = [len(x) for x in left]
+    chosen: list[str] = []
+    while open_ := [k for k, x in enumerate(left) if len(x) / sizes[k] >= CONTAINED]:
+        worth: Counter[tuple[bool, str]] = Counter()
+        for k in open_:
+            for word, n in Counter(w for shingle in left[k] for w in set(shingle)).items():
+                worth[len(word) >= 6, word] += min(n / sizes[k], 1.0 - CONTAINED)
+        chosen.append(max(worth, key=lambda x: (x[0], worth[x], x[1]))[1])
+        left = [{shingle for shingle in x if chosen[-1] not in shingle} for x in left]
+    return chosen
 
 
 def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, containment (of the license's shingles in the best window), first_word
     (of the first window that reaches it, from 0), for each license found in a document."""
     spark = df.sparkSession
-    known = template_rows(spark, templates)
+    known, cues = template_rows(spark, templates)
     words = sorted({k for _, _, keys in known for k in keys})
     of_template = lambda key: key.isin(words)  # noqa: E731  a hash set of constants
 
-    docs = with_keys(pick(df, doc_id=id_col, text=text_col).where("text is not null")).where(F.exists("keys", of_template))
+    texts = held(pick(df, doc_id=id_col, text=text_col).where("text is not null"), "lowered", F.lower("text")).drop("text")
+    texts = texts.where(reduce(or_, (F.contains("lowered", F.lit(w)) for w in cues), F.lit(False)))
+    docs = with_keys(texts).where(F.exists("keys", of_template))
 
     # blocks of bounded size, so that a row never carries a long text's keys into its windows
     plan = window_plan({c for _, c, _ in known})

@@ -244,6 +244,16 @@ def test_license_scan(spark):
     assert got == expected
     assert all((100 + k, name) in got for k, name in enumerate(texts))
     assert licenses.scan(df.limit(0)).count() == 0
+    assert licenses.scan(df, {}).count() == licenses.scan(df, {"short": "four words are few"}).count() == 0
+
+
+def test_license_cue_words(spark):
+    _, cues = licenses.template_rows(spark, license_texts.TEMPLATES)
+    assert 0 < len(cues) < 30
+    for text in license_texts.TEMPLATES.values():
+        w = re.findall(r"[^\W_]+(?:[.\-][^\W_]+)*", text.lower())
+        own = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        assert len({x for x in own if not set(x) & set(cues)}) / len(own) < licenses.CONTAINED
 
 
 def test_mixing_equals_sql(spark):
