@@ -17,7 +17,7 @@ With 32 bands of 5 rows a pair at similarity 0.8 shares no band with probability
 
 Defined cases: texts without words (null, empty, blank) have no shingles and are linked with
 nothing; a text with fewer words than a shingle is one shingle; rows that share an id count as
-one document; a row with a null id is linked with nothing, has a null component and is kept;
+one document (if their texts differ, links are verified on the smallest); a row with a null id is linked with nothing, has a null component and is kept;
 an empty table gives an empty table; other columns are ignored.
 """
 
@@ -241,7 +241,8 @@ def near_duplicates(df: DataFrame, how: Shingling = Shingling(), id_col: str = "
     members = staged(banded.join(groups, "band").select("band", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "members")
 
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = staged(full_sets(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), how.words), "sets")
+    texts = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    sets = staged(full_sets(texts, how.words), "sets")
 
     def labelled(rows: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
         for c in columns:
