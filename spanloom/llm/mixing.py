@@ -25,7 +25,7 @@ SEED = "mix-1"
 PASSES = 3
 WEIGHTS = (1, 2, 3)
 #: Rows that one hash bucket or one bin of finish times holds, about.
-BUCKET_ROWS = 2_000
+BUCKET_ROWS = 1_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
