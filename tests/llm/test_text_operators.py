@@ -66,6 +66,18 @@ def test_repetition_against_brute_force(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def test_coverage_rules_reject_what_the_base_check_passes(spark):
+    new = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    twice = lambda n: f"{new('p', n)} {new('a', 60)} {new('p', n)} {new('b', 140 - 2 * n)}"
+    lines = "".join(f"u{i} v{i} w{i}\nsame line\n" for i in range(40))  # no repeated run of three words
+    texts = {"clean": new("w", 200), "mild": twice(6), "moderate": twice(30), "ten": twice(13), "lines": lines}
+    got = {name: r for name, r in zip(texts, sorted(repetition.repetition_rules(documents(spark, list(texts.values()))).collect(), key=lambda r: r["doc_id"]), strict=True)}
+    assert not any(r["base_failed"] for r in got.values())
+    assert got["ten"]["cover_5"] == got["ten"]["cover_10"] and 0.1 < got["ten"]["cover_10"] < 0.15
+    assert got["lines"]["cover_5"] == 0 and 0.2 < got["lines"]["line_cover"] < 0.5
+    assert {name: r["kept"] for name, r in got.items()} == {"clean": True, "mild": True, "moderate": False, "ten": False, "lines": False}
+
+
 def test_token_counts_equal_the_library(spark):
     texts = EDGES + random_texts(300) + ["<|endoftext|>" * 3, "".join(random.Random(1).choice("abcdefgh") for _ in range(9000))]
     library = Tokenizer.from_file(BPE_JSON)
