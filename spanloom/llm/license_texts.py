@@ -86,3 +86,6 @@ TEMPLATES = {
         "software. 3. This notice may not be removed or altered from any source distribution."
     ),
 }
+
+#: Notices shorter than a shingle of the scan.
+SHORT_NOTICES = {"All-rights-reserved": "All rights reserved."}

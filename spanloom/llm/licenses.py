@@ -16,7 +16,12 @@ Only windows that hold a shingle of some template are hashed: any other has cont
 only texts with a cue word are cut into shingles: cue words are chosen so that more than 0.2 of
 each template's shingles hold one, so a text without any contains less than 0.8 of a template.
 
-Defined cases: null, empty and short texts (under five words) match nothing; repeated rows with
+A template under five words has one shingle, of all its words, and the windows of class 0 over
+shingles of that length; it is found by comparing the words, without MinHash. A template without
+any word is refused.
+
+Defined cases: null and empty texts match nothing, texts under five words only such short
+templates; repeated rows with
 one id are one document; a row with a null id is scanned and reported with that id; ties
 between windows go to the first one; an empty table gives an empty table; other columns are
 ignored; a text is never cut short.
@@ -26,13 +31,13 @@ from __future__ import annotations
 
 from collections import Counter
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pick
-from .license_texts import TEMPLATES
+from .license_texts import SHORT_NOTICES, TEMPLATES
 
 SHINGLE_WORDS = 5
 CONTAINED = 0.8
@@ -70,7 +75,7 @@ def window_plan(classes: set[int]) -> list[tuple[int, int, int]]:
 
 
 def template_rows(spark: SparkSession, templates: dict[str, str]) -> tuple[list[tuple[str, int, list[int]]], list[str]]:
-    """(name, class, distinct shingle keys) of each template of at least one shingle, and the
+    """(name, class, distinct shingle keys) of each template of at least five words, and their
     cue words. The templates are a constant of the code, so this is a few thousand values."""
     rows = spark.createDataFrame(sorted(templates.items()), "license string, text string").select("license", F.lower("text").alias("lowered"))
     keyed = with_keys(rows.withColumn("said", words_of("lowered"))).select("license", "said", F.array_distinct("keys").alias("keys")).collect()
@@ -78,6 +83,32 @@ def template_rows(spark: SparkSession, templates: dict[str, str]) -> tuple[list[
     return [(r["license"], len(r["keys"]).bit_length() - 1, list(r["keys"])) for r in known], cue_words([list(r["said"]) for r in known])
 
 
+def short_rows(spark: SparkSession, templates: dict[str, str]) -> dict[str, list[str]]:
+    """The words of each template under a shingle's length. One without words can't be found."""
+    rows = spark.createDataFrame(sorted(templates.items()), "license string, text string").select("license", F.lower("text").alias("lowered"))
+    said = {r["license"]: list(r["words"]) for r in rows.select("license", words_of("lowered").alias("words")).collect()}
+    if empty := [name for name, words in said.items() if not words]:
+        raise ValueError(f"templates without a word: {', '.join(empty)}")
+    return {name: words for name, words in said.items() if len(words) < SHINGLE_WORDS}
+
+
+def short_matches(texts: DataFrame, short: dict[str, list[str]]) -> DataFrame:
+    """doc_id, license, containment, at of the texts (doc_id, lowered) that hold a short template."""
+    cues = [F.contains("lowered", F.lit(max(words, key=len))) for words in short.values()]
+    said = held(texts.where(reduce(or_, cues)), "words", words_of("lowered")).drop("lowered")
+
+    def first(words: list[str]) -> Column:
+        """Place of the first run of these words, from 1; 0 without one."""
+        starts = F.slice("words", F.lit(1), F.greatest(F.size("words") - (len(words) - 1), F.lit(0)))
+        same = lambda w, i: reduce(and_, (F.get("words", i + k) == x for k, x in enumerate(words[1:], 1)), w == words[0])
+        return F.array_position(F.transform(starts, same), True)
+
+    found = F.array(*[F.struct(F.lit(name).alias("license"), first(words).alias("place")) for name, words in sorted(short.items())])
+    (_, length, _), = window_plan({0})
+    at = F.greatest(F.col("f.place") - length, F.lit(0)).cast("int").alias("at")
+    return said.select("doc_id", F.explode(found).alias("f")).where("f.place > 0").select("doc_id", "f.license", F.lit(1.0).alias("containment"), at)
+
+
 def cue_words(texts: list[list[str]]) -> list[str]:
     """A few words, long ones first, such that a text without any of them can't hold CONTAINED
     of the shingles of one of these texts."""
@@ -98,13 +129,14 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "do
     """doc_id, license, containment (of the license's shingles in the best window), first_word
     (of the first window that reaches it, from 0), for each license found in a document."""
     spark = df.sparkSession
+    short = short_rows(spark, templates)
     known, cues = template_rows(spark, templates)
     words = sorted({k for _, _, keys in known for k in keys})
     of_template = lambda key: key.isin(words)  # noqa: E731  a hash set of constants
 
     texts = held(pick(df, doc_id=id_col, text=text_col).where("text is not null"), "lowered", F.lower("text")).drop("text")
-    texts = texts.where(reduce(or_, (F.contains("lowered", F.lit(w)) for w in cues), F.lit(False)))
-    docs = with_keys(texts).where(F.exists("keys", of_template))
+    cued = texts.where(reduce(or_, (F.contains("lowered", F.lit(w)) for w in cues), F.lit(False)))
+    docs = with_keys(cued).where(F.exists("keys", of_template))
 
     # blocks of bounded size, so that a row never carries a long text's keys into its windows
     plan = window_plan({c for _, c, _ in known})
@@ -149,6 +181,8 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "do
         .withColumn("containment", F.size(F.array_intersect("window", "template")) / F.size("template"))
         .where(F.col("containment") >= CONTAINED)
     )
+    if short:
+        met = met.select("doc_id", "license", "containment", "at").unionByName(short_matches(texts, short))
     best = F.max_by(F.struct("containment", "at"), F.struct(F.col("containment"), -F.col("at"))).alias("best")
     return met.groupBy("doc_id", "license").agg(best).select("doc_id", "license", F.col("best.containment").alias("containment"), F.col("best.at").cast("long").alias("first_word"))
 
@@ -178,3 +212,11 @@ held AS (
 SELECT doc_id, license, containment, first_word FROM held
 QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, first_word) = 1
 """
+
+#: The short notices by comparing runs of words.
+SHORT_SQL = rf"""
+WITH said AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM documents),
+notices AS (SELECT license, regexp_extract_all(lower(text), '{WORD}') AS t FROM (VALUES {", ".join(f"('{name}', '{text}')" for name, text in sorted(SHORT_NOTICES.items()))}) v(license, text)),
+runs AS (SELECT doc_id, license, w, t, unnest(range(len(w) - len(t) + 1)) AS pos FROM said, notices)
+SELECT doc_id, license, 1.0::DOUBLE AS containment, greatest(min(pos) - 2, 0)::BIGINT AS first_word FROM runs WHERE w[pos + 1 : pos + len(t)] = t GROUP BY doc_id, license
+"""

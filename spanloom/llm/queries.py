@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, mixing, neardup, ogg, pu_quality, repetition, token_counts, warc
+from . import bpe, chat, license_texts, licenses, mixing, neardup, ogg, pu_quality, repetition, token_counts, warc
 from .common import table
 
 TOKEN_LIMIT = 512
@@ -31,6 +31,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_short_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), license_texts.SHORT_NOTICES)
+
+
 def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.round_trip(table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_neardup, op2_chat_tree, op3_warc_chain, op4_license_scan, op5_ogg_media, op6_fair_mixing, op7_repetition_rules, op8_token_counts, op9_pu_quality, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_minhash_neardup, op2_chat_tree, op3_warc_chain, op4_license_scan, op4_short_notices, op5_ogg_media, op6_fair_mixing, op7_repetition_rules, op8_token_counts, op9_pu_quality, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -67,6 +71,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_chat_tree": chat.SQL,
         "op3_warc_chain": warc.SQL,
         "op4_license_scan": licenses.SQL,
+        "op4_short_notices": licenses.SHORT_SQL,
         "op6_fair_mixing": mixing.SQL,
         "op7_repetition_rules": repetition.SQL,
     }

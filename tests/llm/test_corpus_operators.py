@@ -247,6 +247,19 @@ def test_license_scan(spark):
     assert licenses.scan(df, {}).count() == licenses.scan(df, {"short": "four words are few"}).count() == 0
 
 
+def test_license_scan_finds_templates_shorter_than_a_shingle(spark):
+    rows = [(1, "All rights reserved."), (2, "some words here, then more.\nALL  RIGHTS\nreserved!"), (3, "all rights are reserved"), (4, "all rights"), (5, None), (6, "overall rights reserved")]
+    rows += [(7, f"{license_texts.TEMPLATES['MIT-line']} All rights reserved. all rights reserved"), (8, "x y all rights reserved"), (8, "all rights reserved"), (None, "w " * 3000 + "all rights reserved")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["license"]): (r["containment"], r["first_word"]) for r in licenses.scan(df, license_texts.TEMPLATES | license_texts.SHORT_NOTICES | {"one": "Overall"}).collect()}
+    notice = "All-rights-reserved"
+    assert got == {
+        (1, notice): (1.0, 0), (2, notice): (1.0, 3), (6, "one"): (1.0, 0), (7, "MIT-line"): (1.0, 0), (7, notice): (1.0, 3), (8, notice): (1.0, 0), (None, notice): (1.0, 2998),
+    }
+    with pytest.raises(ValueError, match="blank"):
+        licenses.scan(df, {"blank": " ... "})
+
+
 def test_license_cue_words(spark):
     _, cues = licenses.template_rows(spark, license_texts.TEMPLATES)
     assert 0 < len(cues) < 30
