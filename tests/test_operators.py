@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+import regex
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -209,6 +210,46 @@ def test_detector_against_regular_expressions(spark):
     assert [v for _, v in said(9)] == ["Renée@x.org", "é@y.org"]
 
 
+def detected_by_brute_force(text):
+    """The rules' patterns by the regex module, accepted in rule order where nothing is taken."""
+
+    def address(v):
+        try:
+            return bool(ipaddress.ip_address(v))
+        except ValueError:
+            return False
+
+    def card(v):
+        digits = [int(c) for c in v if c.isdigit()][::-1]
+        total = sum(d if k % 2 == 0 else 2 * d - 9 * (d > 4) for k, d in enumerate(digits))
+        return 13 <= len(digits) <= 19 and (total % 10 == 0 or " " in v)
+
+    accept = {"IP_ADDRESS": address, "CREDIT_CARD": card, "USERNAME": lambda v: v.lower() not in ("caption", "field", "input", "placeholder")}
+    taken = []
+    for rule in detect.RULES:
+        flags, pattern = regex.match(r"\(\?(i?)U\)(.*)", rule.pattern, regex.S).groups()
+        for m in regex.finditer(pattern, text, regex.V1 | (regex.I if flags else 0)):
+            start, stop = m.span(rule.group)
+            if accept.get(rule.label, bool)(m[rule.group]) and all(stop <= a or start >= b for a, b, _ in taken):
+                taken.append((start, stop, rule.label))
+    return sorted(taken)
+
+
+def test_detector_against_brute_force(spark):
+    rng = random.Random(8)
+    bits = ["WVWZZZABCDEFGHJKL", "dead:beef::cafe", "10.0.0.7", "ab:cd", "user name is", "anna_k", "MRN-ABCD", "emp abc", "NAT-ABCDE", "ZH-ABC", "a.b@c.org", "born 1.2.1990", "12 Long Road", "0441234567", "the host is", "sold,", "chassis", "caption", "(x)"]
+    texts = ["chassis WVWZZZABCDEFGHJKL sold", "the host is dead:beef::cafe today"] + [" ".join(rng.choices(bits, k=rng.randint(1, 7))) for _ in range(200)]
+    got = {r["doc_id"]: [tuple(s)[:3] for s in r["spans"]] for r in detect.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == [(8, 25, "VEHICLE_ID")] and got[1] == [(12, 27, "IP_ADDRESS")]
+    assert got == {i: detected_by_brute_force(t) for i, t in enumerate(texts)}
+
+
+def test_detector_uses_the_rules_it_is_given(spark):
+    df = spark.createDataFrame([(1, "a secret word")], "doc_id long, text string")
+    (row,) = detect.detect(df, (detect.Rule("WORD", "secret"),)).collect()
+    assert [tuple(s) for s in row["spans"]] == [(2, 8, "WORD", "secret")]
+
+
 def test_documents(spark):
     texts = ["", "one", "one\n\ntwo\nthree", "\n\n", "x" * 3000, "é😀\n" * 40]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
