@@ -40,10 +40,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; where that is
-    unset (tests on one machine) a temporary folder is made and set."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where that is unset
+    a session on one machine (as in tests) gets a temporary folder; on a cluster each node would
+    write into a folder of its own, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spanloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -53,12 +56,37 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """The intermediate tables of one operator in the shared folder. ``stage`` cuts lineage: it
+    writes a frame and reads it back, so that a lost executor costs a reread and never the whole
+    history. ``free`` deletes tables that nothing reads any more; what a lazy result still reads
+    stays until ``free_all``, which is called on frames that were written out in the meantime."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.made = spark, shared_path(spark, name), 0
+        self._paths: list[tuple[DataFrame, str]] = []
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        self.made += 1
+        path = f"{self.root}/{self.made}-{name}"
+        df.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self._paths.append((back, path))
+        return back
+
+    def free(self, *frames: DataFrame) -> None:
+        """Delete what these frames, given as ``stage`` returned them, were read from."""
+        gone = [path for frame, path in self._paths if any(frame is f for f in frames)]
+        self._paths = [x for x in self._paths if x[1] not in gone]
+        discard(self.spark, *gone)
+
+    def free_all(self, *but: DataFrame) -> None:
+        self.free(*[frame for frame, _ in self._paths if not any(frame is b for b in but)])
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write to the shared folder and read back, so that a lost executor costs
-    a reread and never the whole history."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """One table staged by itself; its reader decides how long it stays."""
+    return Scratch(df.sparkSession, name).stage(df, name)
 
 
 def discard(spark: SparkSession, *paths: str) -> None:

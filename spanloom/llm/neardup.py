@@ -15,10 +15,13 @@ is lost, and a group of n near copies costs about n checks.
 
 With 32 bands of 5 rows a pair at similarity 0.8 shares no band with probability 3.1e-6.
 
+Sets meet in lots: a lot holds whole blocks, up to a bounded number of rows and of shingles, and
+a hub's set comes once in each block, however many classes are checked against it there.
+
 Defined cases: texts without words (null, empty, blank) have no shingles and are linked with
 nothing; a text with fewer words than a shingle is one shingle; rows that share an id count as
-one document (if their texts differ, links are verified on the smallest); a row with a null id is linked with nothing, has a null component and is kept;
-an empty table gives an empty table; other columns are ignored.
+one document, linked by each of its texts; a row with a null id is linked with nothing, has a
+null component and is kept; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import full_texts, map_slices, pick, spread, staged
+from .common import Scratch, full_texts, map_slices, pick, spread
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -44,8 +47,10 @@ _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
 _TOGETHER = 1 << 15
 #: Bytes of text that one step shingles.
 _STEP_BYTES = 1 << 20
-#: Classes on each side of a block.
-BLOCK = 512
+#: Classes, and shingles, on each side of a block; a larger set is a side of its own.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Rows, and shingles, that one call compares, about.
+LOT_ROWS, LOT_SHINGLES = 4 * 512, 1 << 21
 
 
 @dataclass(frozen=True)
@@ -146,7 +151,7 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
 
     def run(part: pa.RecordBatch) -> dict:
         sets = shingle_sets(full_texts(part.column(1)), k)
-        marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+        marks = _marks(sets)
         keys = band_keys(signatures(sets))
         empty = np.array([s.size == 0 for s in sets])
         bands = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel(), mask=pa.array(empty))
@@ -155,12 +160,21 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
     return map_slices(docs, "doc_id long, n_shingles long, hi long, lo long, bands array<long>", run, limit=_STEP_BYTES)
 
 
+def _marks(sets: list[np.ndarray]) -> np.ndarray:
+    """The 128-bit key of each set, as two columns."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+
+
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
+    """docs (doc_id, text, hi, lo) -> (id, shingles) of the rows whose set has the key (hi, lo)."""
+
     def run(part: pa.RecordBatch) -> dict:
         sets = shingle_sets(full_texts(part.column(1)), k)
+        right = (_marks(sets) == np.column_stack([part.column(i).to_numpy() for i in (2, 3)])).all(axis=1)
+        sets = [x for x, r in zip(sets, right, strict=True) if r]
         ends = np.concatenate([[0], np.cumsum([s.size for s in sets])]).astype(np.int32)
         keys = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-        return {"id": part.column(0).cast(pa.int64()), "shingles": pa.ListArray.from_arrays(ends, keys)}
+        return {"id": part.column(0).cast(pa.int64()).filter(pa.array(right)), "shingles": pa.ListArray.from_arrays(ends, keys)}
 
     return map_slices(docs, "id long, shingles array<long>", run, limit=_STEP_BYTES)
 
@@ -170,28 +184,45 @@ def _fits(a: str, b: str, percent: int) -> Column:
     return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, how: Shingling) -> DataFrame:
-    """Of pairs (a, b), those that are similar enough on their full shingle sets."""
-    one, two = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    near = 100 * both >= how.percent * (F.size("set_a") + F.size("set_b") - both)
-    return staged(pairs.join(one, "a").join(two, "b").where(near).select("a", "b"), "links")
+def _parts(rows: str, shingles: str) -> Column:
+    """Into how many a side of so many rows and shingles is cut."""
+    return F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES), F.lit(1))
+
+
+def _place(count: str) -> Column:
+    return F.pmod(F.xxhash64("id"), F.col(count))
 
 
-def block_links(open_: DataFrame, sets: DataFrame, how: Shingling) -> DataFrame:
-    """Links (a, b) across components inside groups. open_ (hub, id, group, main): the classes
-    of a hub's groups, their component, and if it is the hub's. Classes outside the hub's
-    component meet all classes of the group, in blocks of about BLOCK by BLOCK."""
-    sizes = open_.groupBy("hub").agg(F.count("*").alias("all"), F.count_if(~F.col("main")).alias("rest")).where("rest > 0")
-    sizes = staged(sizes.select("hub", F.ceil(F.col("all") / BLOCK).alias("columns"), F.ceil(F.col("rest") / BLOCK).alias("rows")), "sizes")
+def hub_blocks(spokes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Blocks in which each class (rep, n) of spokes meets its hub (hub, hub_n), and nothing else."""
+    sizes = spokes.groupBy("hub").agg(F.count("*").alias("all"), F.sum("n").alias("shingles"), F.max("hub_n").alias("hub_n"))
+    sizes = scratch.stage(sizes.select("hub", "hub_n", _parts("all", "shingles").alias("rows")), "sizes")
+    spoke = spokes.select("hub", F.col("rep").alias("id"), "n").join(sizes.select("hub", "rows"), "hub")
+    spoke = spoke.select("hub", "id", "n", F.col("id").alias("group"), F.lit(True).alias("side"), _place("rows").alias("row"), F.lit(0).cast("long").alias("column"))
+    hub = sizes.select("hub", F.col("hub").alias("id"), F.col("hub_n").alias("n"), F.col("hub").alias("group"), F.lit(False).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("row"), F.lit(0).cast("long").alias("column"))
+    return spoke.unionByName(hub)
+
+
+def open_blocks(open_: DataFrame, scratch: Scratch) -> DataFrame:
+    """Blocks across components inside groups. open_ (hub, id, n, group, main): the classes of a
+    hub's groups, their component, and if it is the hub's. Classes outside the hub's component
+    meet all classes of the group."""
+    rest = ~F.col("main")
+    sizes = open_.groupBy("hub").agg(F.count("*").alias("all"), F.sum("n").alias("all_n"), F.count_if(rest).alias("rest"), F.sum(F.when(rest, F.col("n"))).alias("rest_n")).where("rest > 0")
+    sizes = scratch.stage(sizes.select("hub", _parts("all", "all_n").alias("columns"), _parts("rest", "rest_n").alias("rows")), "sizes")
     dealt = open_.join(sizes, "hub")
-    place = lambda count: F.pmod(F.xxhash64("id"), F.col(count))
-    left = dealt.where("not main").select("hub", "id", "group", F.lit(True).alias("side"), place("rows").alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"))
-    right = dealt.select("hub", "id", "group", F.lit(False).alias("side"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), place("columns").alias("column"))
-    blocks = staged(left.union(right), "blocks")
-    lots = -(-max(1, blocks.count()) // (4 * BLOCK))  # small blocks share a call
-    rows = blocks.withColumn("lot", F.pmod(F.xxhash64("hub", "row", "column"), F.lit(lots))).join(sets, "id").select("lot", "hub", "row", "column", "side", "id", "group", "shingles")
-    percent = how.percent
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    left = dealt.where(rest).select("hub", "id", "n", "group", F.lit(True).alias("side"), _place("rows").alias("row"), every("columns").alias("column"))
+    right = dealt.select("hub", "id", "n", "group", F.lit(False).alias("side"), every("rows").alias("row"), _place("columns").alias("column"))
+    return left.unionByName(right)
+
+
+def block_links(blocks: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between the two sides of each block, across groups, on full shingle sets."""
+    blocks = scratch.stage(blocks, "blocks")
+    rows, shingles = blocks.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    lots = max(1, -(-rows // LOT_ROWS), -(-shingles // LOT_SHINGLES))  # small blocks share a call
+    dealt = blocks.withColumn("lot", F.pmod(F.xxhash64("hub", "row", "column"), F.lit(lots))).join(sets, "id").select("lot", "hub", "row", "column", "side", "id", "group", "shingles")
 
     def compare(lot: pa.Table) -> pa.Table:
         lot = lot.combine_chunks()
@@ -204,45 +235,54 @@ def block_links(open_: DataFrame, sets: DataFrame, how: Shingling) -> DataFrame:
         edges = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
         found: list[tuple[int, int]] = []
         for block in np.split(order, edges):
-            mine, theirs = block[side[block]], block[~side[block]]
+            theirs, mine = np.split(block, [int((~side[block]).sum())])  # side sorts False first
             if not mine.size or not theirs.size:
                 continue
-            pieces = [flat[at[i] : at[i + 1]] for i in block]
+            few, many = (mine, theirs) if mine.size <= theirs.size else (theirs, mine)
+            pieces = [flat[at[i] : at[i + 1]] for i in (*many, *few)]
             _, codes = np.unique(np.concatenate(pieces), return_inverse=True)
             n = np.array([x.size for x in pieces])
             starts = np.concatenate([[0], np.cumsum(n)])
-            split = theirs.size  # side sorts False first
-            others, other_starts, other_n = codes[: starts[split]], starts[:split], n[:split]
+            others, other_starts, other_n = codes[: starts[many.size]], starts[: many.size], n[: many.size]
             present = np.zeros(codes.max() + 1, np.int64)
-            for k in range(split, block.size):
-                i = block[k]
+            for k, i in enumerate(few, many.size):
                 own = codes[starts[k] : starts[k + 1]]
                 present[own] = 1
                 both = np.add.reduceat(present[others], other_starts)
                 present[own] = 0
-                near = (100 * both >= percent * (other_n + n[k] - both)) & (group[theirs] != group[i])
-                found += [(min(ids[i], x), max(ids[i], x)) for x in ids[theirs[near]]]
+                near = (100 * both >= percent * (other_n + n[k] - both)) & (group[many] != group[i])
+                found += [(min(ids[i], x), max(ids[i], x)) for x in ids[many[near]]]
         return pa.table({"a": pa.array([int(x) for x, _ in found], pa.int64()), "b": pa.array([int(y) for _, y in found], pa.int64())})
 
-    return staged(rows.groupBy("lot").applyInArrow(compare, "a long, b long").distinct(), "links")
+    links = scratch.stage(dealt.groupBy("lot").applyInArrow(compare, "a long, b long").distinct(), "links")
+    scratch.free(blocks)
+    return links
 
 
 def near_duplicates(df: DataFrame, how: Shingling = Shingling(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id of the group) and kept (it is its
     group's smallest id) of every row."""
     docs = pick(df, doc_id=id_col, text=text_col)
-    seen = staged(profiles(spread(docs), how.words), "profiles")
-    classes = staged(
-        seen.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
-        "classes",
-    )
+    scratch = Scratch(df.sparkSession, "neardup")
+    profiled = scratch.stage(profiles(spread(docs), how.words), "profiles")
+    usable = "n_shingles > 0 and doc_id is not null"
+    classes = scratch.stage(profiled.where(usable).groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+    seen = scratch.stage(profiled.select("doc_id", "n_shingles", "hi", "lo"), "seen")
+    scratch.free(profiled)
     banded = classes.select("rep", "n", F.explode("bands").alias("band"))
     groups = banded.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    members = staged(banded.join(groups, "band").select("band", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "members")
+    members = scratch.stage(banded.join(groups, "band").select("rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")).distinct(), "members")
+
+    # the sets of the classes that meet others; an id may stand for several classes
+    wanted = classes.select("rep", "hi", "lo").join(members.select("rep").distinct(), "rep", "left_semi")
+    texts = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("doc_id", "text", "hi", "lo").dropDuplicates()
+    sets = scratch.stage(full_sets(texts, how.words), "sets")
 
-    ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = staged(full_sets(texts, how.words), "sets")
+    # the classes of an id with several texts belong together
+    mark = F.struct("hi", "lo")
+    several = seen.where(usable).groupBy("doc_id").agg((F.min(mark) != F.max(mark)).alias("several")).where("several")
+    links = seen.where(usable).join(several, "doc_id", "left_semi").join(classes.select("hi", "lo", "rep"), ["hi", "lo"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    links = scratch.stage(links.distinct(), "own")
 
     def labelled(rows: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
         for c in columns:
@@ -251,26 +291,28 @@ def near_duplicates(df: DataFrame, how: Shingling = Shingling(), id_col: str = "
         return rows
 
     # first each class against one hub only, then against hubs in other components
-    spokes = staged(members.where((F.col("rep") != F.col("hub")) & _fits("n", "hub_n", how.percent)).select("rep", "hub").distinct(), "spokes")
-    nearest = spokes.groupBy(F.col("rep").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
-    links = verified(nearest, sets, how)
-    found = components(links)
-    rest = labelled(spokes, found, "rep", "hub").where("rep_of != hub_of").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    extra = verified(rest.join(nearest, ["a", "b"], "left_anti"), sets, how)
-    if not extra.isEmpty():
-        links = links.union(extra)
-        found = components(links)
+    spokes = scratch.stage(members.where((F.col("rep") != F.col("hub")) & _fits("n", "hub_n", how.percent)), "spokes")
+    nearest = spokes.groupBy("rep", "n").agg(F.min(F.struct("hub", "hub_n")).alias("first")).select("rep", "n", "first.*")
+    links = links.union(block_links(hub_blocks(nearest, scratch), sets, how.percent, scratch))
+    found = components(links, scratch)
+    rest = labelled(spokes.join(nearest.select("rep", "hub"), ["rep", "hub"], "left_anti"), found, "rep", "hub").where("rep_of != hub_of").select("rep", "n", "hub", "hub_n")
+    rest = scratch.stage(rest, "rest")
+    if not rest.isEmpty():
+        links = links.union(block_links(hub_blocks(rest, scratch), sets, how.percent, scratch))
+        before, found = found, components(links, scratch)
+        scratch.free(before)
+    scratch.free(spokes)
 
     # groups that still hold several components
-    open_ = labelled(members.where("rep != hub").select("hub", "rep").distinct(), found, "hub", "rep")
-    open_ = staged(open_.select("hub", F.col("rep").alias("id"), F.col("rep_of").alias("group"), (F.col("rep_of") == F.col("hub_of")).alias("main")), "open")
-    more = block_links(open_, sets, how)
-    if not more.isEmpty():
-        found = components(links.union(more))
-
-    of_class = labelled(classes.select("hi", "lo", "rep"), found, "rep").select("hi", "lo", F.col("rep_of").alias("group"))
-    out = seen.select("doc_id", "n_shingles", "hi", "lo").join(of_class, ["hi", "lo"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("group")).otherwise(F.col("doc_id"))
+    open_ = labelled(members.where("rep != hub").select("hub", "rep", "n"), found, "hub", "rep")
+    open_ = scratch.stage(open_.select("hub", F.col("rep").alias("id"), "n", F.col("rep_of").alias("group"), (F.col("rep_of") == F.col("hub_of")).alias("main")), "open")
+    if not open_.where("not main").isEmpty():
+        found = components(links.union(block_links(open_blocks(open_, scratch), sets, how.percent, scratch)), scratch)
+
+    of_class = scratch.stage(labelled(classes.select("hi", "lo", "rep"), found, "rep").select("hi", "lo", F.col("rep_of").alias("group")), "groups")
+    scratch.free_all(seen, of_class)
+    out = seen.join(of_class, ["hi", "lo"], "left")
+    component = F.when(F.expr(usable), F.col("group")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

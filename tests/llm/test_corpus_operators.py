@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import math
+import os
 import random
 import re
 
@@ -10,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from spanloom.llm.common import Scratch
 from spanloom.llm import chat, components, license_texts, licenses, mixing, neardup, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -59,9 +62,11 @@ def near_rows():
     return list(zip(ids, texts, strict=True))
 
 
-@pytest.mark.parametrize("block", [512, 4])
-def test_near_duplicates_against_all_pairs(spark, near_rows, block, monkeypatch):
+@pytest.mark.parametrize("block, shingles", [(512, 1 << 20), (4, 1 << 20), (512, 60)])
+def test_near_duplicates_against_all_pairs(spark, near_rows, block, shingles, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", shingles)
+    monkeypatch.setattr(neardup, "LOT_SHINGLES", 4 * shingles)
     df = spark.createDataFrame([(i, t, 5, None) for i, t in near_rows], "doc_id long, text string, component_id int, band string").repartition(3)
     how = neardup.Shingling(words=4, percent=80)
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, how).collect())
@@ -78,6 +83,20 @@ def test_near_duplicates_edges(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == neardup.keep_first(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    one, two, three = ("".join(f" {p}{i}" for i in range(30)) for p in "abc")
+    rows = [(5, one), (5, two), (5, ""), (5, one), (3, two + " more"), (9, one + " end"), (8, three), (2, three), (8, three.upper()), (1, None)]
+    got = {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 3), (5, 5), (3, 3), (9, 3), (8, 2), (2, 2), (1, 1)}  # the empty row of 5 has no shingles
+
+
+def test_near_duplicates_leave_no_files_but_what_the_result_reads(spark):
+    rows = [(i, " ".join(f"w{(i // 3) * 50 + k}" for k in range(30)) + f" z{i}") for i in range(60)]
+    df = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    roots = {os.path.dirname(os.path.dirname(f.removeprefix("file://"))) for f in df.inputFiles()}
+    assert len(roots) == 1 and sorted(x.split("-")[1] for x in os.listdir(roots.pop())) == ["groups", "seen"]
+
+
 def test_superminhash_estimates_jaccard_and_stops_early():
     rng = np.random.default_rng(0)
     errors = []
@@ -109,6 +128,43 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("shape", ["rising", "falling", "turned", "random", "zigzag"])
+def test_components_of_long_chains_take_few_rounds(spark, shape):
+    n = 2000
+    path = list(range(1, n + 1))
+    if shape == "falling":
+        path.reverse()
+    elif shape == "turned":
+        path = [1, *range(n, 1, -1)]
+    elif shape == "random":
+        random.Random(5).shuffle(path)
+    elif shape == "zigzag":
+        path = [x for i in range(n // 2) for x in (i + 1, n - i)]
+    scratch = Scratch(spark, "chain")
+    labels = components.components(spark.createDataFrame(list(zip(path, path[1:])), "a long, b long"), scratch)
+    assert labels.count() == n and labels.where("component != 1").isEmpty()
+    assert scratch.made <= 2 * math.log2(n) + 3  # each written round: labels, edges, and the composed result
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(2)
+    for n, m in ((60, 25), (200, 190), (300, 500)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        up = {x: x for e in edges for x in e if e[0] != e[1]}
+
+        def root(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in edges:
+            if a != b:
+                one, two = sorted((root(a), root(b)))
+                up[two] = one
+        got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {x: root(x) for x in up}
+
+
 def conversations():
     rng = random.Random(3)
     texts = ["", None, chat.PROBE_TEXT, "a<|b", "<\\|x", "<\\\\|", "<|nl|>", "plain é🙂", "two\nlines", chat.STOP + "\n", "<"]
