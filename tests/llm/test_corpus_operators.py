@@ -354,3 +354,14 @@ def test_mixing_equals_sql(spark):
     counts = {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
     assert {k: v for k, v in taken.items() if v and k != 904} == {k: v for k, v in counts.items() if k != 904}
     assert mixing.mix(df.limit(0)).count() == mixing.mixed_rows(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sf, share", [("sf0.01", 0.01), ("sf0.001", 0.03)])
+def test_mixing_comes_near_its_targets(spark, sf, share):
+    """50 documents a source, or 10, the longest with a third of its source's words."""
+    rows = mixing.mix(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).toPandas()
+    by = rows.groupby("source", dropna=False).agg(target=("target", "first"), taken=("taken", "sum"), own=("size", "sum"), source_size=("source_size", "first"))
+    assert (by.own == by.source_size).all() and (by.target <= 3 * by.own).all()
+    assert abs(by.target.sum() - by.own.sum()) < 1 and by.taken.sum() <= by.own.sum()
+    assert ((by.taken - by.target).abs() <= share * by.target).all()
+    assert (rows.passes <= 3).all() and (rows.taken == rows["size"] * rows.passes).all()
