@@ -5,8 +5,8 @@ worker has not counted before are held as one ragged numpy array of symbol ids;
 round each sequence's lowest-rank pair is merged at all its places at once, until no sequence
 has a mergeable pair. What survives of a sequence is its token count.
 
-The vocabulary must make each merged token by one merge only (so a merge can't create a pair
-of lower rank than its own); ``Merges`` checks this when it loads.
+A file whose model, normaliser or pre-tokeniser is of another kind than what is computed here is
+refused when it loads.
 
 Defined cases: null and empty texts have no tokens; repeated rows are counted one by one;
 an empty table gives an empty table; other columns are ignored; a text is never cut short.
@@ -24,13 +24,17 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import full_texts, map_slices, pick, spread
+from .merging import Pairs, merge_all
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 #: Pre-tokens that a worker remembers, and the longest one it keeps.
 CACHE_ENTRIES, CACHE_CHARS = 600_000, 48
 #: Symbols merged in one ragged array.
 ROUND_SYMBOLS = 1 << 20
-_NO_RANK = np.int64(1 << 40)
+#: What a file says of a plain byte-level model, with the pre-tokeniser whose regular expression
+#: is the byte-level one's own.
+PLAIN_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_letters() -> list[str]:
@@ -42,77 +46,44 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def check_plain(spec: dict, pattern: str) -> None:
+    """Raise unless the file's tokens are those of ``pattern`` and merges alone."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [k for k, v in PLAIN_MODEL.items() if (model.get(k) or v) != v]
+    if spec.get("normalizer") is not None:
+        odd.append("normalizer")
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or pattern != BYTE_LEVEL:
+        odd.append("pre_tokenizer")
+    if any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        odd.append("added_tokens")
+    if odd:
+        raise ValueError(f"not a plain byte-level file: {', '.join(odd)}")
+
+
 class Merges:
-    """Merge table of a byte-level BPE file: sorted pair keys, their ranks and results."""
+    """Merge table of a byte-level BPE file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_plain(spec, pattern)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
-        made = [vocab[a + b] for a, b in pairs]
-        if len(set(made)) < len(made):
-            raise ValueError("two merges make the same token: simultaneous merging needs one merge for each")
-        self.width = np.int64(len(vocab) + len(spec["added_tokens"]) + 1)
-        keys = np.array([vocab[a] for a, _ in pairs], np.int64) * self.width + np.array([vocab[b] for _, b in pairs], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), np.array(made, np.int64)  # made: by rank
+        self.pairs = Pairs(((vocab[a], vocab[b], rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)), max(vocab.values()) + 1)
         self.byte_ids = np.array([vocab[c] for c in byte_letters()], np.int64)
         self.specials = [t["content"] for t in spec["added_tokens"]]
 
-    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left * self.width + right
-        at = np.minimum(np.searchsorted(self.keys, key), self.keys.size - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], _NO_RANK)
-
 
 def merge_counts(merges: Merges, sequences: list[bytes]) -> np.ndarray:
     """Surviving symbols of each sequence."""
-    lengths = np.array([len(s) for s in sequences], np.int64)
-    counts = lengths.copy()
-    symbols = merges.byte_ids[np.frombuffer(b"".join(sequences), np.uint8)]
-    seq = np.repeat(np.arange(len(sequences)), lengths)
-    ranks = np.full(symbols.size, _NO_RANK)  # of each symbol with its right neighbour in the sequence
-
-    def refresh(at: np.ndarray) -> None:
-        at = at[(at >= 0) & (at < symbols.size)]
-        ranks[at] = _NO_RANK
-        at = at[at + 1 < symbols.size]
-        at = at[seq[at] == seq[at + 1]]
-        ranks[at] = merges.rank(symbols[at], symbols[at + 1])
-
-    refresh(np.arange(symbols.size))
-    while symbols.size:
-        first = np.flatnonzero(np.concatenate([[True], seq[:-1] != seq[1:]]))
-        sizes = np.diff(np.append(first, symbols.size))
-        least = np.minimum.reduceat(ranks, first)
-        live = least < _NO_RANK
-        counts[seq[first]] = sizes
-        if not live.all():  # what has no pair left is done
-            keep = np.repeat(live, sizes)
-            symbols, seq, ranks, least, sizes = symbols[keep], seq[keep], ranks[keep], least[live], sizes[live]
-            if not symbols.size:
-                break
-        at = np.flatnonzero(ranks == np.repeat(least, sizes))
-        # of overlapping places (a run of one symbol) every other one counts, from the left
-        if (np.diff(at) == 1).any():
-            run = np.concatenate([[True], np.diff(at) > 1])
-            begin = np.maximum.accumulate(np.where(run, at, -1))
-            at = at[(at - begin) % 2 == 0]
-        symbols[at] = merges.made[ranks[at]]
-        stay = np.ones(symbols.size, bool)
-        stay[at + 1] = False
-        symbols, seq, ranks = symbols[stay], seq[stay], ranks[stay]
-        at = at - np.arange(at.size)
-        refresh(np.concatenate([at - 1, at]))
-    return counts
+    return merge_all(merges.pairs, merges.byte_ids[np.frombuffer(b"".join(sequences), np.uint8)], np.array([len(s) for s in sequences], np.int64))[1]
 
 
 class Counter:
     """Counts tokens of texts; remembers the counts of short pre-tokens."""
 
     def __init__(self, path: str, pattern: str):
-        self.merges = Merges(path)
+        self.merges = Merges(path, pattern)
         self.pattern = regex.compile(pattern)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.merges.specials, key=len, reverse=True)))) if self.merges.specials else None
         self.known: dict[str, int] = {}
