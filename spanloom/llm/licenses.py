@@ -36,7 +36,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import held, pick
 from .license_texts import SHORT_NOTICES, TEMPLATES
 
 SHINGLE_WORDS = 5
@@ -47,13 +47,6 @@ BLOCK = 1024
 WORD = r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*"
 
 
-def held(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Adds a column that is computed once for each row: a generator of one value, which the
-    optimizer does not unfold into the expressions that use it (inside a lambda these would
-    compute it again for each element)."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
 def words_of(lowered: str) -> Column:
     return F.regexp_extract_all(F.col(lowered), F.lit(WORD), F.lit(0))
 
