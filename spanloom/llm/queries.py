@@ -53,8 +53,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return pu_quality.score(docs, pu_quality.fitted(docs, table(spark, sf_dir, "labels")))
+    return pu_quality.fit_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
