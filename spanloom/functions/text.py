@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
+import sys
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """Full case folding as Unicode has it: letters and what each becomes, where that is one
+    letter, and those that become several."""
+    changed = {c: c.casefold() for c in map(chr, range(sys.maxunicode + 1)) if not 0xD800 <= ord(c) < 0xE000 and c.casefold() != c}
+    single = {c: f for c, f in changed.items() if len(f) == 1}
+    return "".join(single), "".join(single.values()), {c: f for c, f in changed.items() if len(f) > 1}
+
+
+_LETTERS, _FOLDED, _EXPANDED = _foldings()
+
+
+def casefolded(text: Column) -> Column:
+    """Full case folding. Most texts are ASCII, or hold no letter that becomes several."""
+    single = F.translate(text, _LETTERS, _FOLDED)
+    several = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), _EXPANDED.items(), single)
+    return F.when(~text.rlike(r"[^\x00-\x7f]"), F.lower(text)).when(text.rlike(f"[{''.join(_EXPANDED)}]"), several).otherwise(single)
+
+
 def normalized(text: Column) -> Column:
-    """For duplicate search: white space runs become one blank, ends trimmed, case folded
-    (lower case, and sharp s as ss)."""
-    return F.replace(F.lower(F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))), F.lit("ß"), F.lit("ss"))
+    """For duplicate search: white space runs become one blank, ends trimmed, case folded."""
+    return casefolded(F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " ")))
 
 
 def lowered(text: Column) -> Column:

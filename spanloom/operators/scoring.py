@@ -22,9 +22,8 @@ def prf(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
 
 def class_counts(aligned: DataFrame, gold: DataFrame) -> DataFrame:
     """label, tp, fp, fn for all types, also those without support, by exact match."""
-    said = spans.exact_matches(aligned, gold).groupBy(F.col("type").alias("label")).agg(F.count_if("hit").alias("tp"), F.count_if(~F.col("hit")).alias("fp"))
-    missed = spans.missed_gold(aligned, gold).groupBy(F.col("type").alias("label")).agg(F.count("*").alias("fn"))
-    rows = type_dimension(gold.sparkSession).join(said, "label", "left").join(missed, "label", "left")
+    found = spans.scored_spans(aligned, gold).groupBy(F.col("type").alias("label")).agg(F.count_if("hit").alias("tp"), F.count_if(~F.col("hit")).alias("fp"), F.count_if(F.col("hit").isNull()).alias("fn"))
+    rows = type_dimension(gold.sparkSession).join(found, "label", "left")
     return rows.select("ordinal", "label", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("tp", "fp", "fn")])
 
 
@@ -42,9 +41,9 @@ def averages(counts: DataFrame) -> DataFrame:
 
 def document_flags(samples: DataFrame, aligned: DataFrame, gold: DataFrame) -> DataFrame:
     """For each sample (sample_id): n_gold, n_predicted, tp, complete and exact."""
-    said = spans.exact_matches(aligned, gold).groupBy("sample_id").agg(F.count("*").alias("n_predicted"), F.count_if("hit").alias("tp"))
-    real = gold.select("sample_id", "type", "start", "stop").distinct().groupBy("sample_id").agg(F.count("*").alias("n_gold"))
-    rows = samples.select("sample_id").join(real, "sample_id", "left").join(said, "sample_id", "left").na.fill(0, ["n_gold", "n_predicted", "tp"])
+    hits = F.size(F.filter("said", lambda p: spans.is_hit(p, F.col("real"))))
+    found = spans.by_sample(aligned, gold).select("sample_id", F.size("real").cast("long").alias("n_gold"), F.size("said").cast("long").alias("n_predicted"), hits.cast("long").alias("tp"))
+    rows = samples.select("sample_id").join(found, "sample_id", "left").na.fill(0, ["n_gold", "n_predicted", "tp"])
     complete = F.col("tp") == F.col("n_gold")
     return rows.withColumn("complete", complete).withColumn("exact", complete & (F.col("n_predicted") == F.col("tp")))
 

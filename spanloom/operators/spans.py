@@ -3,6 +3,8 @@ alignment of predictions to occurrences. Offsets are code points, half open, fro
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,18 +89,70 @@ def order_violations(entities: DataFrame) -> DataFrame:
     return unique.withColumn("before", before).where("before > first").select("rec").distinct()
 
 
+_SAID = "array<struct<k:int,type:string,value:string,start:int,stop:int>>"
+_REAL = "array<struct<start:int,stop:int,type:string,value:string>>"
+
+
 def align(texts: DataFrame, predictions: DataFrame) -> DataFrame:
     """texts (sample_id, text), predictions (sample_id, k, type, value) -> + start, stop.
 
     The j-th prediction of a value takes its j-th occurrence, else null: two predictions
     compete for a place only if their values are equal, so this is the greedy assignment.
-    Texts meet only the distinct values predicted for them."""
-    turn = F.row_number().over(Window.partitionBy("sample_id", "value").orderBy("k"))
-    ranked = predictions.withColumn("turn", turn)
-    values = predictions.select("sample_id", "value").distinct().join(texts, "sample_id")
-    places = values.select("sample_id", "value", occurrence_starts(F.col("text"), F.col("value")).alias("starts"))
-    joined = ranked.join(places, ["sample_id", "value"], "left").withColumn("start", F.get("starts", F.col("turn") - 1))
-    return joined.select("sample_id", "k", "type", "value", "start", (F.col("start") + F.length("value")).alias("stop"))
+    A sample's predictions meet its text in one row, once."""
+    said = predictions.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("k", "type", "value"))).alias("items"))
+    rows = said.join(texts.select("sample_id", "text"), "sample_id", "left")
+
+    def placed(x: Column, i: Column) -> Column:
+        turn = F.size(F.filter(F.slice("items", F.lit(1), i), lambda y: y["value"] == x["value"]))
+        start = F.get(occurrence_starts(F.col("text"), x["value"]), turn)
+        return F.struct(x["k"].alias("k"), x["type"].alias("type"), x["value"].alias("value"), start.alias("start"), (start + F.length(x["value"])).alias("stop"))
+
+    return rows.select("sample_id", F.explode(F.transform("items", placed)).alias("a")).select("sample_id", "a.*")
+
+
+def is_hit(p: Column, real: Column) -> Column:
+    """A placed prediction is one of the gold spans."""
+    return F.coalesce(F.exists(real, lambda g: (g["type"] == p["type"]) & (g["start"] == p["start"]) & (g["stop"] == p["stop"])), F.lit(False))
+
+
+def missed_of(real: Column, said: Column) -> Column:
+    """The gold spans that no prediction hits."""
+    return F.filter(real, lambda g: ~F.exists(said, lambda p: p["start"].isNotNull() & (g["type"] == p["type"]) & (g["start"] == p["start"]) & (g["stop"] == p["stop"])))
+
+
+def by_sample(aligned: DataFrame, gold: DataFrame, texts: DataFrame | None = None, valid: DataFrame | None = None) -> DataFrame:
+    """(sample_id, said, real): the aligned predictions in order and the distinct gold spans of
+    each sample that has any (with its text and schema_valid, if those frames are given, of all
+    their samples). One union and one exchange by sample; a sample's spans are one row."""
+    parts = []
+    kinds = {"text": "string", "schema_valid": "boolean", "p": _SAID[6:-1], "g": _REAL[6:-1]}
+    # the value of a gold span, where the frame holds it; of equal spans one is kept
+    value = F.col("text") if "text" in gold.columns else F.lit(None).cast("string")
+    for frame, name, column in (
+        (aligned, "p", F.struct(*[F.col(c) for c in ("k", "type", "value", "start", "stop")])),
+        (gold, "g", F.struct("start", "stop", "type", value.alias("value"))),
+        (texts, "text", F.coalesce("text", F.lit(""))),
+        (valid, "schema_valid", F.col("schema_valid")),
+    ):
+        if frame is not None:
+            own = {c: F.lit(None) for c in kinds} | {name: column}
+            if frame is texts and "schema_valid" in texts.columns:
+                own["schema_valid"] = F.col("schema_valid")
+            parts.append(frame.select("sample_id", *[c.cast(kinds[n]).alias(n) for n, c in own.items()]))
+    every = reduce(DataFrame.unionByName, parts)
+    rows = every.groupBy("sample_id").agg(F.sort_array(F.collect_list("p")).alias("said"), F.sort_array(F.collect_set("g")).alias("real"), F.first("text", ignorenulls=True).alias("text"), F.first("schema_valid", ignorenulls=True).alias("schema_valid"))
+    first = lambda g, i: (i == 0) | ~F.exists(F.slice("real", F.lit(1), i), lambda h: (h["start"] == g["start"]) & (h["stop"] == g["stop"]) & (h["type"] == g["type"]))
+    return rows.withColumn("real", F.filter("real", first))
+
+
+def scored_spans(aligned: DataFrame, gold: DataFrame) -> DataFrame:
+    """(sample_id, type, hit): true for each prediction that is gold, false for each other one,
+    null for each gold span that is missed."""
+    rows = by_sample(aligned, gold)
+    outcome = lambda x, hit: F.struct(x["type"].alias("type"), hit.cast("boolean").alias("hit"))
+    said = F.transform("said", lambda p: outcome(p, is_hit(p, F.col("real"))))
+    lost = F.transform(missed_of(F.col("real"), F.col("said")), lambda g: outcome(g, F.lit(None)))
+    return rows.select("sample_id", F.explode(F.concat(said, lost)).alias("o")).select("sample_id", "o.*")
 
 
 def exact_matches(aligned: DataFrame, gold: DataFrame) -> DataFrame:
