@@ -113,8 +113,17 @@ def resume(todo: DataFrame, done: DataFrame, key: str = "sample_id") -> DataFram
 
 
 def in_order_of(selected: DataFrame, rows: DataFrame, key: str = "sample_id") -> DataFrame:
-    """The rows of a subset (key, row_index) with its order."""
-    return selected.join(rows, key).orderBy("row_index")
+    """The rows of a subset (key, row_index) with its order. A selected key without a row fails
+    the query, when it runs; the message counts nothing and names no key."""
+    there = rows.withColumn("is_there", F.lit(True))
+    joined = selected.join(there, key, "left")
+    missing = F.raise_error(F.lit("selected keys have no row")).cast("boolean")
+    return joined.where(F.coalesce("is_there", missing)).drop("is_there").orderBy("row_index")
+
+
+def uncovered(selected: DataFrame, rows: DataFrame, key: str = "sample_id") -> int:
+    """How many selected keys have no row."""
+    return selected.select(key).distinct().join(rows.select(key), key, "left_anti").count()
 
 
 def main_split(source: DataFrame, made: DataFrame, total: int, minimum: int, key: str, id_col: str = "sample_id", labels_col: str = "labels") -> DataFrame:

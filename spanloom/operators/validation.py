@@ -17,10 +17,10 @@ from ..labels import ENTITY_TYPES
 from .selection import set_difference
 
 POLICY_VERSION, PROMPT_VERSION = "pii-taxonomy-v1", "pii-extraction-v1"
-REQUIRED_METADATA = frozenset("source source_split is_negative policy_version prompt_version entity_spans".split())
+REQUIRED_METADATA = frozenset(["source", "source_split", "is_negative", "policy_version", "prompt_version", "entity_spans"])
 CHECKED = "struct<faults:array<string>,usable:boolean,sample_id:string,text:string,is_negative:boolean,labels:array<string>,family:string,kind:string>"
 _TYPES = frozenset(ENTITY_TYPES)
-_SPAN_KEYS = frozenset("start end text type".split())
+_SPAN_KEYS = frozenset(["start", "end", "type", "text"])
 
 
 def _messages(found) -> list[str] | None:

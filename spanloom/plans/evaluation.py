@@ -25,18 +25,27 @@ class Evaluation:
     errors: DataFrame
 
 
-def evaluate(samples: DataFrame, gold: DataFrame, predictions: DataFrame) -> Evaluation:
+def evaluate(samples: DataFrame, gold: DataFrame, predictions: DataFrame, folder: str | None = None) -> Evaluation:
     """samples (sample_id, text), gold (sample_id, type, start, stop, text), predictions
     (sample_id, raw_output). A sample without a prediction counts as invalid; ``coverage``
-    reports such ids."""
+    reports such ids. With a folder, responses and their alignment are written there once, and
+    every frame reads them from it; without one, each frame parses and aligns when it is used."""
+    spark = samples.sparkSession
+
+    def once(df: DataFrame, name: str) -> DataFrame:
+        if folder is None:
+            return df
+        df.write.mode("errorifexists").parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
     said = samples.select("sample_id").join(predictions.select("sample_id", "raw_output"), "sample_id", "left")
-    parsed = said.select("sample_id", response_column(F.col("raw_output")).alias("p")).select("sample_id", "p.*")
+    parsed = once(said.select("sample_id", "raw_output", response_column(F.col("raw_output")).alias("p")).select("sample_id", "raw_output", "p.*"), "parsed")
     items = parsed.select("sample_id", F.posexplode("entities").alias("k", "e")).select("sample_id", "k", "e.type", F.col("e.text").alias("value"))
     texts = samples.select("sample_id", "text")
-    aligned = spans.align(texts, items)
+    aligned = once(spans.align(texts, items), "aligned")
     counts = scoring.class_counts(aligned, gold)
     lost = aligned.where("start is null").join(texts, "sample_id").groupBy("sample_id").agg(F.count_if(~F.contains("text", "value")).alias("hallucinated"))
-    flags = parsed.join(spans.source_ordered(aligned), "sample_id", "left").join(lost, "sample_id", "left").withColumn("ordered", F.col("schema_valid") & F.coalesce("ordered", F.lit(True)))
+    flags = parsed.drop("raw_output").join(spans.source_ordered(aligned), "sample_id", "left").join(lost, "sample_id", "left").withColumn("ordered", F.col("schema_valid") & F.coalesce("ordered", F.lit(True)))
     return Evaluation(
         parsed=parsed,
         aligned=aligned,

@@ -8,7 +8,8 @@ import os
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -33,18 +34,17 @@ def write_labels_csv(labels: DataFrame, path: str) -> None:
 
 
 def append_new(df: DataFrame, path: str, key: str = "sample_id") -> int:
-    """Append the rows whose key the folder doesn't hold yet; how many."""
+    """Append the rows whose key the folder doesn't hold yet; how many. The rows are counted as
+    they are written, so they are computed once."""
     spark = df.sparkSession
     try:
         df = df.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
-    except Exception as e:  # nothing was written yet
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:  # nothing was written yet
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    df = df.persist()
-    n = df.count()
-    df.write.mode("append").parquet(path)
-    df.unpersist()
-    return n
+    seen = Observation()
+    df.observe(seen, F.count("*").alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
 
 
 def pretty(document: dict) -> str:
@@ -94,6 +94,20 @@ def markdown_table(title: str, columns: list[str], rows: list[tuple]) -> str:
     return "\n".join([f"# {title}", "", line(columns), line(["---"] * len(columns)), *map(line, rows), ""])
 
 
-def joined_corpus(texts: DataFrame, separator: str) -> str:
-    """Texts (place, text) of a small ordered frame as one string."""
+#: Characters of a corpus that the driver may hold as one string.
+LARGEST_CORPUS = 64 << 20
+
+
+def joined_corpus(texts: DataFrame, separator: str, most: int = LARGEST_CORPUS) -> str:
+    """Texts (place, text) of a small ordered frame as one string; a larger one is refused
+    before any text is fetched. ``write_corpus`` takes any size."""
+    size = texts.agg(F.coalesce(F.sum(F.length("text") + len(separator)), F.lit(0))).first()[0]
+    if size > most:
+        raise ValueError(f"a corpus of {size} characters is too large for the driver")
     return separator.join(r["text"] for r in texts.orderBy("place").select("text").collect())
+
+
+def write_corpus(texts: DataFrame, separator: str, path: str) -> None:
+    """Texts in order of place, each followed by the separator, as the parts of a folder: put
+    together in order of their names they are the corpus."""
+    texts.orderBy("place").select(F.concat("text", F.lit(separator)).alias("value")).write.mode("errorifexists").option("lineSep", "\n").text(path)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.parsing import response_json
 from spanloom.labels import ENTITY_TYPES
-from spanloom.operators import scoring
-from spanloom.plans import evaluation
+from spanloom.__main__ import main
+from spanloom.operators import scoring, validation
+from spanloom.plans import evaluation, reports
 from spanloom.streaming import detector
 
 
@@ -37,6 +38,40 @@ def test_missing_and_invalid_predictions(spark):
     }
 
 
+def test_evaluation_from_the_command_line(spark, tmp_path, capsys):
+    samples, gold = fixture(spark)
+    said = gold.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "type", "text"))).alias("spans"))
+    none = F.array().cast("array<struct<start:int,stop:int,type:string,text:string>>")
+    rows = samples.join(said, "sample_id", "left").select(F.concat(F.lit("s"), F.col("sample_id").cast("string")).alias("sample_id"), "text", F.lit("made").alias("source"), F.lit("train").alias("split"), F.coalesce("spans", none).alias("spans"))
+    data, predictions = str(tmp_path / "data"), str(tmp_path / "said")
+    validation.prepared_lines(rows, "prompt").select("value").write.text(data)
+    run = lambda *a: main([*a], spark)
+    assert run("validate", "--source", data, "--split", "train", "--out", str(tmp_path / "v1")) == 0
+    assert run("validate", "--source", data, "--split", "test", "--out", str(tmp_path / "v2")) == 2
+    assert json.loads((tmp_path / "v2" / "validation.json").read_text())["faults"] == {"source_split": 3}
+    assert run("detect", "--data", data, "--out", predictions) == 0
+    work = str(tmp_path / "work")
+    assert run("evaluate", "--data", data, "--predictions", predictions, "--out", str(tmp_path / "e"), "--work", work) == 0
+    metrics = json.loads((tmp_path / "e" / "metrics.json").read_text())
+    assert metrics["per_class"]["EMAIL"]["tp"] == 1 and metrics["error_groups"]["FN/PERSON_NAME/missed_entity"] == {"documents": 2, "errors": 3}
+    assert metrics["validity"]["schema_valid_rate"] == 1.0
+    assert run("evaluate", "--data", data, "--predictions", data, "--out", str(tmp_path / "f")) == 1
+    assert run("evaluate", "--data", data, "--predictions", predictions, "--out", str(tmp_path / "e"), "--work", work) == 1  # the folder is taken
+    source = str(tmp_path / "source")
+    spark.createDataFrame([("a", "train", "Ann x"), ("b", "valid", "Ann x"), ("c", "test", "y")], "uid string, split string, text string").write.partitionBy("split").parquet(source)
+    assert run("inspect", "--source", source, "--out", str(tmp_path / "i")) == 2
+    assert json.loads((tmp_path / "i" / "summary.json").read_text())["exact_duplicates_across_splits"] == 1
+    printed = "".join(capsys.readouterr()) + "".join(p.read_text() for d in ("v2", "e", "i") for p in (tmp_path / d).iterdir())
+    assert "Ann" not in printed and "a@b.org" not in printed
+
+
+def test_comparison_report(spark):
+    columns = ["recall", "complete_document_recall", "precision", "schema_valid", "f1", "negative_false_positive_rate", "input_index"]
+    runs = spark.createDataFrame([(0.5, 1.0, 1.0, 1.0, 0.6, 0.0, 0), (0.9, 1.0, 1.0, 1.0, 0.9, 0.0, 1)], columns)
+    report = reports.comparison_report(runs)["comparison.md"].splitlines()
+    assert report[4].startswith("| 0.9 ") and report[5].startswith("| 0.5 ")
+
+
 def test_inspection(spark):
     rows = [("a", "train", "one two"), ("b", "train", "One  two"), ("c", "valid", "one two"), ("c", "test", "x")]
     found = evaluation.inspect(spark.createDataFrame(rows, "uid string, split string, text string"))
