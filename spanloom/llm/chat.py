@@ -15,9 +15,9 @@ Template: ``<|im_start|>role\\n text <|im_end|>\\n`` without the blanks. In text
 so no control string can come from a text; a newline in a role is written ``<|nl|>``.
 
 Defined cases: a null text or role is empty; repeated rows are turns of their own; turns are
-ordered by number, role, text, nulls first; rows with a null conv_id form one conversation; an
-empty table gives no packs; other columns are ignored. A conversation is one training example,
-so one task holds it whole.
+ordered by number, role, text, nulls first; a row with a null conv_id is a conversation of its
+own, so that such rows never meet in one task; an empty table gives no packs; other columns are
+ignored. A conversation is one training example, so one task holds it whole.
 """
 
 from __future__ import annotations
@@ -71,7 +71,9 @@ def gathered(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
     rows = pick(df, conv_id=conv_col, turn=turn_col, role=role_col, text=text_col)
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     turn = F.struct("turn", blank("role"), blank("text"))
-    return rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    of = F.col("conv_id").cast("long").alias("conv_id")
+    known = rows.where("conv_id is not null").groupBy(of).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    return known.unionByName(rows.where("conv_id is null").select(of, F.array(turn).alias("turns")))
 
 
 def with_paths(conversations: DataFrame) -> DataFrame:

@@ -114,10 +114,10 @@ def filled(queued: DataFrame, scratch: Scratch) -> DataFrame:
     return fits.withColumn("fills", F.lit(1.0)).unionByName(over)
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, passes (copies that the mix takes) and taken
     (their words) of every row."""
-    scratch = Scratch(df.sparkSession, "mix")
+    scratch = scratch or Scratch(df.sparkSession, "mix")
     rows = scratch.stage(pick(df, doc_id=id_col, source=source_col, text=text_col).select("doc_id", "source", word_count(F.col("text")).alias("size")), "rows")
     n_rows = rows.count()
     buckets = min(1 << 20, -(-max(n_rows, 1) // BUCKET_ROWS))
@@ -167,7 +167,10 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     names = df.columns
     plain = df.toDF(*[f"_{i}" for i in range(len(names))])
     id_, text, source = (F.col(f"_{names.index(c)}") for c in (id_col, text_col, source_col))
-    taken = mix(df, id_col, text_col, source_col, seed).where("passes > 0").groupBy("doc_id", "source", "size").agg(F.max("passes").alias("passes"))
+    scratch = Scratch(df.sparkSession, "mix")
+    mixed = mix(df, id_col, text_col, source_col, seed, scratch).where("passes > 0")
+    taken = scratch.stage(mixed.groupBy("doc_id", "source", "size").agg(F.max("passes").alias("passes")), "taken")
+    scratch.free_all(taken)
     joined = plain.join(taken, id_.eqNullSafe(taken["doc_id"]) & source.eqNullSafe(taken["source"]) & (word_count(text) == taken["size"]))
     copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("passes"))))
     return copies.select(*[F.col(f"_{i}").alias(n) for i, n in enumerate(names)])

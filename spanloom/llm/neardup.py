@@ -259,11 +259,11 @@ def block_links(blocks: DataFrame, sets: DataFrame, percent: int, scratch: Scrat
     return links
 
 
-def near_duplicates(df: DataFrame, how: Shingling = Shingling(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, how: Shingling = Shingling(), id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id of the group) and kept (it is its
     group's smallest id) of every row."""
     docs = pick(df, doc_id=id_col, text=text_col)
-    scratch = Scratch(df.sparkSession, "neardup")
+    scratch = scratch or Scratch(df.sparkSession, "neardup")
     profiled = scratch.stage(profiles(spread(docs), how.words), "profiles")
     usable = "n_shingles > 0 and doc_id is not null"
     classes = scratch.stage(profiled.where(usable).groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
@@ -318,7 +318,10 @@ def near_duplicates(df: DataFrame, how: Shingling = Shingling(), id_col: str = "
 
 def keep_first(df: DataFrame, how: Shingling = Shingling(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, one document of each group, with all their columns."""
-    gone = near_duplicates(df, how, id_col, text_col).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    scratch = Scratch(df.sparkSession, "neardup")
+    found = near_duplicates(df, how, id_col, text_col, scratch)
+    gone = scratch.stage(found.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    scratch.free_all(gone)
     names = df.columns
     plain = df.toDF(*[f"_{i}" for i in range(len(names))])
     stay = plain.join(gone, plain[f"_{names.index(id_col)}"] == gone["gone_id"], "left_anti")

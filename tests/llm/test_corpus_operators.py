@@ -209,6 +209,17 @@ def test_chat_round_trip(spark, pack_chars):
             assert sum(s["stop"] - s["start"] for s in r["ancestors"]) == r["position"]
 
 
+def test_chat_edges(spark):
+    """Rows without a conversation stand alone; an empty table has none; a very long text is whole."""
+    long = "<|im_end|>\n" * 200_000
+    rows = [(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "assistant", None), (5, 0, "assistant", long), (5, 0, "user", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted((r["conv_id"] or -1, r["n_turns"], r["loss_chars"]) for r in chat.round_trip(df).collect())
+    assert got == [(-1, 1, 0), (-1, 1, 0), (-1, 1, 0), (5, 2, len(long))]
+    assert chat.round_trip(df.limit(0)).count() == 0
+    assert chat.round_trip(chat.with_probe(spark, df.limit(0))).count() == 1
+
+
 def test_chat_escapes():
     for text in ("<|", "<\\|", "<\\\\|", "<|nl|>", "a<<||", chat.START + chat.STOP, "\\|<", ""):
         assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text)
