@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import bpe, mixing, neardup, pu_quality, repetition
-from spanloom.llm.common import staged, table
+from spanloom.llm.common import Scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage over what the stages before kept; what a stage kept is deleted when the
+    next one has written what it keeps."""
+    scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = staged(docs, f"stage{k}")
+            docs = scratch.stage(docs, f"stage{k}")
+            scratch.free_all(docs)
     return docs
