@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,3 +49,25 @@ def prompt_overhead(count: Callable[[str], int], prompt: str, rendered: Callable
     if rendered is None:
         return count(prompt) + TEMPLATE_TOKENS
     return count(rendered([{"role": "system", "content": prompt}, {"role": "user", "content": ""}, {"role": "assistant", "content": ""}]))
+
+
+# What a training configuration must say, and the switches that must be on.
+
+REQUIRED_SETTINGS = ["model", "data", "train", "fine_tune_type", "adapter_path", "iters", "max_seq_length", "mask_prompt"]
+SWITCHES = ["train", "mask_prompt"]
+
+
+def training_faults(config: Mapping, root: Path, splits: tuple[str, ...] = ("train", "valid", "test")) -> list[str]:
+    """What keeps a training run from starting: settings that are missing or off, inputs that are
+    not there, and an output folder that holds something."""
+    missing = [name for name in REQUIRED_SETTINGS if name not in config]
+    if missing:
+        return [f"missing: {name}" for name in missing]
+    out = [f"off: {name}" for name in SWITCHES if config[name] is not True]
+    if not (root / config["model"]).is_dir():
+        out.append("model")
+    out += [f"data: {split}" for split in splits if not (root / config["data"] / f"{split}.jsonl").is_file()]
+    target = root / config["adapter_path"]
+    if target.exists() and any(target.iterdir()):
+        out.append("adapter_path")
+    return out

@@ -14,7 +14,7 @@ from spanloom import detection_sql
 from spanloom.functions import parsing, text
 from spanloom.labels import CANONICAL, ENTITY_TYPES, EXCLUDED
 from spanloom.operators import detect, documents, errors, profile, provenance, scoring, selection, spans, synth, validation
-from spanloom.sources import files, host, lock, sinks
+from spanloom.sources import files, host, lock, sinks, tensors
 
 
 def find_all(haystack, needle):
@@ -531,3 +531,36 @@ def test_generated_values_are_found_by_the_detector(spark):
     found = {r["variant"]: [s["text"] for s in r["spans"]] for r in detect.detect(rows, id_col="variant").collect()}
     undetected = {r["label"] for r in rows.collect() if r["label"] not in ("PERSON_NAME", "USERNAME", "DATE_OF_BIRTH") and r["value"] not in found[r["variant"]]}
     assert not undetected
+
+
+def test_tensor_headers(spark, tmp_path):
+    def write(name, header, data, size=None):
+        raw = json.dumps(header).encode() if isinstance(header, dict) else header
+        (tmp_path / name).write_bytes((len(raw) if size is None else size).to_bytes(8, "little") + raw + bytes(data))
+
+    entry = lambda dtype, shape, a, b: {"dtype": dtype, "shape": shape, "data_offsets": [a, b]}
+    write("a.safetensors", {"__metadata__": {"x": "y"}, "w": entry("F16", [2, 3], 0, 12), "b": entry("F32", [], 12, 16), "q": entry("I8", [1], 0, 1), "s": entry("F32", [-1], 0, 4), "o": entry("F16", [9], 0, 18)}, 16)
+    write("b.safetensors", {"w": entry("F16", [1], 0, 2), "odd": 5}, 2)
+    write("c.safetensors", b"not json", 4)
+    write("d.safetensors", b"{}", 0, size=1 << 63)
+    (tmp_path / "e.safetensors").write_bytes(b"abc")
+    (tmp_path / "f.json").write_text("{}")
+    found = tensors.tensors(spark, str(tmp_path))
+    got = sorted((r["path"][-13:][0], r["tensor"] or "", r["elements"], r["fault"]) for r in found.collect())
+    assert got == [("a", "b", 1, None), ("a", "o", 9, "offsets"), ("a", "q", None, "dtype"), ("a", "s", None, "shape"), ("a", "w", 6, None), ("b", "odd", None, "entry"), ("b", "w", 1, None), ("c", "", None, "header"), ("d", "", None, "header"), ("e", "", None, "header")]
+    sums = {r["dtype"]: tuple(r)[1:] for r in tensors.weights(found).collect()}
+    assert sums["F16"] == (3, 16, 1, 1) and sums["F32"] == (2, 1, 0, 1) and sums[None] == (1, 0, 0, 4)
+
+
+def test_training_settings(tmp_path):
+    config = dict.fromkeys(provenance.REQUIRED_SETTINGS, True) | {"model": "m", "data": "d", "adapter_path": "out"}
+    assert provenance.training_faults({}, tmp_path) == [f"missing: {n}" for n in provenance.REQUIRED_SETTINGS]
+    assert provenance.training_faults(config | {"train": False}, tmp_path) == ["off: train", "model", "data: train", "data: valid", "data: test"]
+    (tmp_path / "m").mkdir()
+    (tmp_path / "d").mkdir()
+    for split in ("train", "valid", "test"):
+        (tmp_path / "d" / f"{split}.jsonl").write_text("")
+    assert provenance.training_faults(config, tmp_path) == []
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "x").write_text("")
+    assert provenance.training_faults(config, tmp_path) == ["adapter_path"]
