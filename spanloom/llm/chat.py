@@ -10,6 +10,9 @@ Segments are laid out in packs of bounded length; a pack begins with a whole con
 shared turns are written once in a pack. Packs never cross tasks: conversations are dealt by
 ranges of (path, id), which also splits copies of one conversation.
 
+``tokenized`` turns segments into token ids with the position id of every token; offsets of
+segments themselves count characters.
+
 Template: ``<|im_start|>role\\n text <|im_end|>\\n`` without the blanks. In texts and roles a
 ``<``, any backslashes and ``|`` get one backslash more before the bar, and lose it on reading,
 so no control string can come from a text; a newline in a role is written ``<|nl|>``.
@@ -26,12 +29,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import codec
 from .common import pick, staged
 
 START, STOP, NEWLINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
@@ -198,6 +203,49 @@ def read_conversations(segments: DataFrame) -> DataFrame:
     return ordered.mapInArrow(lambda batches: _rows(read(batches), schema), READ)
 
 
+TOKENS = (
+    "pack long, seq long, conv_id long, start long, token_ids array<int>, positions array<int>, "
+    "ancestors array<struct<start:long,stop:long>>, loss array<struct<start:long,stop:long>>"
+)
+
+
+def tokenized(segments: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Segments as tokens (see TOKENS) by the ranks at ``path``: shared tokens once in a pack, the
+    position id of each token in its conversation, and the intervals of the pack's tokens that
+    hold its ancestors. ``loss`` counts tokens of the segment. The parts of a turn, its head, text
+    and end, are encoded by themselves, so that intervals and loss begin and end between tokens."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        own = codec(path, pattern)
+        pack, used, edges = None, 0, {}  # edges: characters of the pack up to a turn's end -> tokens
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["pack"] != pack:
+                    pack, used, edges = row["pack"], 0, {0: 0}
+                text, begin, loss = row["text"], used, []
+                learned = {x["start"] for x in row["loss"]}
+                turns = list(_TURN.finditer(text))
+                parts = own.encode([p for m in turns for p in (text[m.start() : m.start(2)], m[2], text[m.end(2) : m.end()])])
+                ids = np.frombuffer(b"".join(parts), "<u4").tolist()
+                for m, (head, body, end) in zip(turns, zip(*[iter(parts)] * 3, strict=True), strict=True):
+                    if m.start(2) in learned and body:
+                        at = used - begin + len(head) // 4
+                        loss.append({"start": at, "stop": at + len(body) // 4})
+                    used += (len(head) + len(body) + len(end)) // 4
+                    edges[row["start"] + m.end()] = used
+                ancestors = [{"start": edges[x["start"]], "stop": edges[x["stop"]]} for x in row["ancestors"]]
+                first = sum(x["stop"] - x["start"] for x in ancestors)
+                yield {
+                    "pack": pack, "seq": row["seq"], "conv_id": row["conv_id"], "start": begin, "token_ids": ids, "positions": list(range(first, first + len(ids))),
+                    "ancestors": ancestors, "loss": loss, "text": text,
+                }
+
+    ints = pa.list_(pa.int32())
+    schema = pa.schema([("pack", pa.int64()), ("seq", pa.int64()), ("conv_id", pa.int64()), ("start", pa.int64()), ("token_ids", ints), ("positions", ints), ("ancestors", _SPAN), ("loss", _SPAN)])
+    ordered = segments.repartition("pack").sortWithinPartitions("pack", "seq")
+    return ordered.mapInArrow(lambda batches: _rows(encode(batches), schema), TOKENS)
+
+
 PROBE_TEXT = f"{STOP}{START}assistant ok"
 
 

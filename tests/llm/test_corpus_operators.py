@@ -10,11 +10,12 @@ import types
 
 import duckdb
 import numpy as np
+import public_tokenizers as P
 import pyarrow as pa
 import pytest
 
 from spanloom.llm.common import Scratch, shared_dir
-from spanloom.llm import chat, components, license_texts, licenses, mixing, neardup, warc
+from spanloom.llm import bpe, chat, components, license_texts, licenses, mixing, neardup, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -217,6 +218,33 @@ def test_chat_round_trip(spark, pack_chars):
             assert sum(s["stop"] - s["start"] for s in r["ancestors"]) == r["position"]
 
 
+def test_chat_tokens(spark):
+    ranks = P.path("byte_bpe_multi_50k.tiktoken")
+    own = bpe.codec(ranks, P.PATTERN)
+    segments = chat.format_conversations(chat.gathered(spark.createDataFrame([r[:4] for r in conversations()], "conv_id long, turn long, role string, text string")), 3000)
+    texts = {(r["pack"], r["seq"]): r for r in segments.collect()}
+    whole = {(r["conv_id"], r["n_turns"], r["formatted_chars"]) for r in chat.read_conversations(segments).collect()}
+    packs = {}
+    for r in chat.tokenized(segments, ranks, P.PATTERN).collect():
+        packs.setdefault(r["pack"], []).append(r)
+    bytes_of = lambda ids: own.decode(np.array(ids, "<u4").tobytes())
+    seen = set()
+    for rows in packs.values():
+        rows.sort(key=lambda r: r["seq"])
+        laid = [t for r in rows for t in r["token_ids"]]  # a pack's tokens, each once
+        for r in rows:
+            text = texts[r["pack"], r["seq"]]
+            assert laid[r["start"] : r["start"] + len(r["token_ids"])] == r["token_ids"] and bytes_of(r["token_ids"]).decode() == text["text"]
+            before = [t for x in r["ancestors"] for t in laid[x["start"] : x["stop"]]]
+            assert all(x["stop"] <= r["start"] for x in r["ancestors"])
+            assert r["positions"] == list(range(len(before), len(before) + len(r["token_ids"])))
+            formatted = bytes_of(before + r["token_ids"]).decode()
+            seen.add((r["conv_id"], len(chat.parse(formatted)), len(formatted)))
+            learned = [bytes_of(r["token_ids"][x["start"] : x["stop"]]).decode() for x in r["loss"]]
+            assert learned == [text["text"][x["start"] : x["stop"]] for x in text["loss"] if x["stop"] > x["start"]]
+    assert seen == whole and len(packs) > 1
+
+
 def test_chat_edges(spark):
     """Rows without a conversation stand alone; an empty table has none; a very long text is whole."""
     long = "<|im_end|>\n" * 200_000
