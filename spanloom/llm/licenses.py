@@ -42,6 +42,9 @@ from .license_texts import SHORT_NOTICES, TEMPLATES
 SHINGLE_WORDS = 5
 CONTAINED = 0.8
 BANDS = 24
+#: Template shingles that a plan may hold as constants, and bytes of templates by band to broadcast;
+#: a larger library is joined.
+MOST_CONSTANTS, MOST_BROADCAST = 20_000, 64 << 20
 #: Window starts of a block: texts are cut into blocks that overlap by the longest window.
 BLOCK = 1024
 WORD = r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*"
@@ -118,6 +121,14 @@ def cue_words(texts: list[list[str]]) -> list[str]:
     return chosen
 
 
+def with_own(docs: DataFrame, words: list[int]) -> DataFrame:
+    """Adds own: the template shingles among a document's keys, for documents that have any."""
+    known = docs.sparkSession.createDataFrame([(w,) for w in words], "key long")
+    hits = docs.select("doc_id", F.explode(F.array_distinct("keys")).alias("key")).join(known, "key")
+    held_ = hits.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("key").alias("own"))
+    return docs.join(held_, F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
+
+
 def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, containment (of the license's shingles in the best window), first_word
     (of the first window that reaches it, from 0), for each license found in a document."""
@@ -125,11 +136,15 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "do
     short = short_rows(spark, templates)
     known, cues = template_rows(spark, templates)
     words = sorted({k for _, _, keys in known for k in keys})
-    of_template = lambda key: key.isin(words)  # noqa: E731  a hash set of constants
+    few = len(words) <= MOST_CONSTANTS
+    # a hash set of constants, or the template shingles that the document holds
+    of_template = lambda key: key.isin(words) if few else F.array_contains("own", key)
 
     texts = held(pick(df, doc_id=id_col, text=text_col).where("text is not null"), "lowered", F.lower("text")).drop("text")
     cued = texts.where(reduce(or_, (F.contains("lowered", F.lit(w)) for w in cues), F.lit(False)))
-    docs = with_keys(cued).where(F.exists("keys", of_template))
+    docs = with_keys(cued)
+    docs = (docs if few else with_own(docs, words)).where(F.exists("keys", of_template))
+    own = [] if few else ["own"]
 
     # blocks of bounded size, so that a row never carries a long text's keys into its windows
     plan = window_plan({c for _, c, _ in known})
@@ -138,7 +153,7 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "do
         F.sequence(F.lit(0), F.floor((F.size("keys") - 1) / BLOCK).cast("int")),
         lambda k: F.struct((k * BLOCK).alias("base"), F.slice("keys", k * BLOCK + 1, F.lit(BLOCK + longest)).alias("keys")),
     )
-    blocks = docs.select("doc_id", F.explode(parts).alias("block")).select("doc_id", "block.base", "block.keys")
+    blocks = docs.select("doc_id", *own, F.explode(parts).alias("block")).select("doc_id", *own, "block.base", "block.keys")
     found = F.filter(F.transform("keys", lambda key, i: F.when(of_template(key), i + F.col("base"))), lambda i: i.isNotNull())
     blocks = held(blocks.where(F.exists("keys", of_template)), "found", found)
 
@@ -168,9 +183,11 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "do
 
     rows = spark.createDataFrame(known or [("", 0, [])], "license string, class int, keys array<long>").where("size(keys) > 0")
     sides = rows.select("license", "class", F.col("keys").alias("template"), F.posexplode(bands(F.col("keys"))).alias("band", "low"))
+    if 8 * BANDS * sum(len(keys) for _, _, keys in known) <= MOST_BROADCAST:
+        sides = F.broadcast(sides)
     met = (
         windows.select("doc_id", "class", "at", "window", F.posexplode(bands(F.col("window"))).alias("band", "low"))
-        .join(F.broadcast(sides), ["class", "band", "low"])  # constants of the code
+        .join(sides, ["class", "band", "low"])
         .withColumn("containment", F.size(F.array_intersect("window", "template")) / F.size("template"))
         .where(F.col("containment") >= CONTAINED)
     )

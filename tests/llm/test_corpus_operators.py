@@ -315,7 +315,10 @@ def test_pointer_jumping():
     assert (warc.leaving(np.arange(n) * 2, np.arange(n) * 2 + 2) == 2 * n).all()
 
 
-def test_license_scan(spark):
+@pytest.mark.parametrize("constants", [20_000, 0])
+def test_license_scan(spark, constants, monkeypatch):
+    monkeypatch.setattr(licenses, "MOST_CONSTANTS", constants)
+    monkeypatch.setattr(licenses, "MOST_BROADCAST", constants)
     texts = license_texts.TEMPLATES
     rng = random.Random(6)
     noise = lambda n: " ".join(rng.choice(["lorem", "ipsum", "the", "software", "permission", "of"]) for _ in range(n))
