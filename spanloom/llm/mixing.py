@@ -114,15 +114,24 @@ def filled(queued: DataFrame, scratch: Scratch) -> DataFrame:
     return fits.withColumn("fills", F.lit(1.0)).unionByName(over)
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, scratch: Scratch | None = None) -> DataFrame:
+def shuffle_key(doc_id: Column, seed: str) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))))
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, passes (copies that the mix takes) and taken
     (their words) of every row."""
-    scratch = scratch or Scratch(df.sparkSession, "mix")
+    queued = queue(df, id_col, text_col, source_col, seed, Scratch(df.sparkSession, "mix"))
+    return queued.select("doc_id", "source", "size", "source_size", "target", "passes", (F.col("size") * F.col("passes")).cast("long").alias("taken"))
+
+
+def queue(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, scratch: Scratch) -> DataFrame:
+    """doc_id, source, size, key (place in the shuffle), source_size, target, base (copies that
+    finish by time 1) and passes of every row."""
     rows = scratch.stage(pick(df, doc_id=id_col, source=source_col, text=text_col).select("doc_id", "source", word_count(F.col("text")).alias("size")), "rows")
     n_rows = rows.count()
     buckets = min(1 << 20, -(-max(n_rows, 1) // BUCKET_ROWS))
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    keyed = rows.withColumn("key", key).withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("long"))
+    keyed = rows.withColumn("key", shuffle_key(F.col("doc_id"), seed)).withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("long"))
     r, s = keyed.alias("r"), source_targets(rows, scratch).alias("s")
     keyed = r.join(s, F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", "s.source_rank", "s.source_size", "s.target")
 
@@ -158,20 +167,34 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         cut = F.struct(F.lit(over["at"]).alias("at"), F.lit(over["rank"]).alias("rank"), F.lit(over["key"]).alias("key"), F.lit(over["id"]).alias("id"), F.lit(over["size"]).alias("size"), F.lit(over["turn"]).alias("turn"))
         passes = sum((F.when(time(F.lit(e)).isNotNull() & (place(F.lit(e)) < cut), 1).otherwise(0) for e in range(PASSES)), F.lit(0))
     scratch.free_all(queued)
-    return queued.withColumn("passes", passes).select("doc_id", "source", "size", "source_size", "target", "passes", (F.col("size") * F.col("passes")).cast("long").alias("taken"))
+    return queued.withColumn("passes", passes).select("doc_id", "source", "size", "key", "source_size", "target", "base", "passes")
 
 
 def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
     """The mix itself: every row as often as it is taken, with all its columns. Rows that agree
-    in id, source and size (repeated rows) are all taken as often as the first-queued of them."""
+    in id, source and size (repeated rows) are all taken as often as the first-queued of them.
+
+    Texts are not exchanged: up to a place in a source's shuffle its rows are taken once more
+    than behind it, so a row only meets that place of its source, and the few rows of which
+    another number is taken (those that fill a deficit)."""
     names = df.columns
     plain = df.toDF(*[f"_{i}" for i in range(len(names))])
     id_, text, source = (F.col(f"_{names.index(c)}") for c in (id_col, text_col, source_col))
     scratch = Scratch(df.sparkSession, "mix")
-    mixed = mix(df, id_col, text_col, source_col, seed, scratch).where("passes > 0")
-    taken = scratch.stage(mixed.groupBy("doc_id", "source", "size").agg(F.max("passes").alias("passes")), "taken")
-    scratch.free_all(taken)
-    joined = plain.join(taken, id_.eqNullSafe(taken["doc_id"]) & source.eqNullSafe(taken["source"]) & (word_count(text) == taken["size"]))
+    queued = queue(df, id_col, text_col, source_col, seed, scratch).where("size > 0")
+    place = F.struct("key", "doc_id", "size")
+    ends = queued.groupBy(F.col("source").alias("of")).agg(F.max(F.struct("base", place.alias("place"))).alias("last"), F.min("base").alias("behind"))
+    ends = scratch.stage(ends.select("of", F.col("last.base").alias("upto"), F.col("last.place").alias("end"), "behind"), "ends")
+    other = queued.where("passes != base").groupBy("doc_id", "source", "size").agg(F.max("passes").alias("passes"))
+    other = scratch.stage(other.toDF("other_id", "other_source", "other_size", "other_passes"), "other")
+    scratch.free_all(ends, other)
+
+    sized = plain.withColumn("words", word_count(text)).where("words > 0")
+    sized = sized.join(ends, source.eqNullSafe(ends["of"]))
+    same = id_.eqNullSafe(F.col("other_id")) & source.eqNullSafe(F.col("other_source")) & (F.col("words") == F.col("other_size"))
+    own = F.struct(shuffle_key(id_, seed).alias("key"), id_.alias("doc_id"), F.col("words").alias("size"))
+    base = F.when(own <= F.col("end"), F.col("upto")).otherwise(F.col("behind"))
+    joined = sized.withColumn("base", base).join(other, same, "left").withColumn("passes", F.coalesce("other_passes", "base")).where("passes > 0")
     copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("passes"))))
     return copies.select(*[F.col(f"_{i}").alias(n) for i, n in enumerate(names)])
 
