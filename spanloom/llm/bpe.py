@@ -7,7 +7,8 @@ chunk before also is a boundary of the next chunk, both agree from there on (a m
 forward), so the pieces are stitched there. A chunk's task encodes its pieces by rank and sends
 their ids and, of the overlaps only, boundaries and token counts; stitching a text drops the ids
 that two chunks have in common. A text in which a seam finds no boundary (one match as long as
-the overlap) is encoded whole. Decoding concatenates the raw bytes of the ids.
+the overlap) is decoded from the ids of its chunks by the task that would stitch it, and encoded
+whole there, so no text is read or exchanged again. Decoding concatenates the raw bytes of the ids.
 
 A match is settled if the chunk holds what it may have looked at: three characters from its
 start, the white space after it and three more. Patterns that look back, or further ahead than
@@ -35,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, held, map_slices, pick, spread
+from .common import held, map_slices, pick, spread
 from .merging import Pairs, merge_all
 
 CHUNK_CHARS, OVERLAP_CHARS = 1 << 14, 1 << 8
@@ -185,22 +186,22 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-CHUNK = "row long, doc_id long, mark long, size long, k int, n int, ids binary, head array<int>, head_tokens array<int>, tail array<int>, tail_tokens array<int>"
+CHUNK = "row long, doc_id long, k int, n int, ids binary, head array<int>, head_tokens array<int>, tail array<int>, tail_tokens array<int>"
 
 
 def chunked(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """row, doc_id, mark, size, k, n and the k-th of n chunks of each text, by column functions."""
-    named = long.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.xxhash64("text").alias("mark"), F.length("text").cast("long").alias("size"))
+    """row, doc_id, k, n and the k-th of n chunks of each text, by column functions."""
+    named = long.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     parts = held(named, "parts", F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{chunk}}}"), F.lit(0))).drop("text")
     both = F.transform("parts", lambda p, i: F.concat(p, F.coalesce(F.left(F.get("parts", i + 1), F.lit(overlap)), F.lit(""))))
-    return parts.select("row", "doc_id", "mark", "size", F.size("parts").alias("n"), F.posexplode(both).alias("k", "text")).select("row", "doc_id", "mark", "size", "k", "n", "text")
+    return parts.select("row", "doc_id", F.size("parts").alias("n"), F.posexplode(both).alias("k", "text")).select("row", "doc_id", "k", "n", "text")
 
 
 def encoded_chunks(chunks: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
     def run(part: pa.RecordBatch) -> dict:
         own = codec(path, pattern)
-        last = [k + 1 == n for k, n in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)]
-        found = [matched(own.pattern, t, end) for t, end in zip(part.column(6).to_pylist(), last, strict=True)]
+        last = [k + 1 == n for k, n in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+        found = [matched(own.pattern, t, end) for t, end in zip(part.column(4).to_pylist(), last, strict=True)]
         rows: list[list] = [[] for _ in range(5)]
         for m, pieces in zip(found, own.encode_pieces([m.pieces for m in found]), strict=True):
             tokens = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4)])
@@ -209,14 +210,14 @@ def encoded_chunks(chunks: DataFrame, path: str, pattern: str, chunk: int, overl
             for column, value in zip(rows, (b"".join(pieces), m.edges[head], tokens[head], m.edges[tail] - chunk, tokens[tail]), strict=True):
                 column.append(value)
         lists = [pa.array(x, pa.list_(pa.int32())) for x in rows[1:]]
-        return {f"c{i}": part.column(i) for i in range(6)} | {"ids": pa.array(rows[0], pa.binary())} | {f"l{i}": x for i, x in enumerate(lists)}
+        return {f"c{i}": part.column(i) for i in range(4)} | {"ids": pa.array(rows[0], pa.binary())} | {f"l{i}": x for i, x in enumerate(lists)}
 
     names = [x.split()[0] for x in CHUNK.split(", ")]
 
     def named(part: pa.RecordBatch) -> dict:
         return dict(zip(names, run(part).values(), strict=True))
 
-    return map_slices(chunks, CHUNK, named, text=6)
+    return map_slices(chunks, CHUNK, named, text=4)
 
 
 def joined_ids(parts: list[dict]) -> bytes | None:
@@ -235,6 +236,11 @@ def joined_ids(parts: list[dict]) -> bytes | None:
     return b"".join(out)
 
 
+def joined_text(own: Codec, parts: list[dict], chunk: int) -> str:
+    """A text from the ids of its chunks in order, which hold every byte of them."""
+    return "".join(own.decode(part["ids"]).decode()[:chunk] for part in parts)
+
+
 def _encoded(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str, schema: str, finish: Callable[[Codec, bytes], tuple], chunk: int, overlap: int) -> DataFrame:
     """doc_id and what ``finish`` makes of the ids of every row, in the columns of ``schema``."""
     checked(pattern)
@@ -251,26 +257,18 @@ def _encoded(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str,
         return {"doc_id": part.column(0).cast(pa.int64())} | columns([finish(own, x) for x in ids])
 
     def joined(parts: pa.Table) -> pa.Table:
-        rows = sorted(parts.to_pylist(), key=lambda r: r["k"])
+        own, rows = codec(path, pattern), sorted(parts.to_pylist(), key=lambda r: r["k"])
         ids = joined_ids(rows)
-        found = columns([finish(codec(path, pattern), b"" if ids is None else ids)])
-        return pa.table({"doc_id": pa.array([rows[0]["doc_id"]], pa.int64()), "mark": [rows[0]["mark"]], "size": [rows[0]["size"]], "stitched": [ids is not None]} | found)
+        if ids is None:
+            ids = own.encode([joined_text(own, rows, chunk)])[0]
+        return pa.table({"doc_id": pa.array([rows[0]["doc_id"]], pa.int64())} | columns([finish(own, ids)]))
 
     is_long = F.length("text") > chunk + overlap
     short = map_slices(spread(docs.where(~F.coalesce(is_long, F.lit(False)))), f"doc_id long, {schema}", whole)
     # a chunk for each row of an exchange, so that the chunks of one text are matched in many tasks
     chunks = chunked(docs.where(is_long), chunk, overlap).repartition(F.col("row"), F.col("k"))
-    grouped = encoded_chunks(chunks, path, pattern, chunk, overlap).groupBy("row", "doc_id", "mark", "size")
-    scratch = Scratch(df.sparkSession, "bpe")
-    long = scratch.stage(grouped.applyInArrow(joined, f"doc_id long, mark long, size long, stitched boolean, {schema}"), "long")
-    names = ["doc_id", *(name for name, _ in fields)]
-    out = short.unionByName(long.where("stitched").select(names))
-    if long.where("not stitched").isEmpty():
-        return out
-    rest = long.where("not stitched").select(F.col("doc_id").alias("id"), "mark", "size").distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("mark")) & (F.length("text") == F.col("size"))
-    again = docs.where(is_long).join(rest, same, "left_semi")
-    return out.unionByName(map_slices(again, f"doc_id long, {schema}", whole))
+    grouped = encoded_chunks(chunks, path, pattern, chunk, overlap).groupBy("row", "doc_id")
+    return short.unionByName(grouped.applyInArrow(joined, f"doc_id long, {schema}"))
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:

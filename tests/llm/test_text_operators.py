@@ -136,6 +136,20 @@ def test_bpe_repeated_long_rows_and_clashing_columns(spark):
     assert decoded == sorted([(i, t) for i, t, _, _ in rows], key=str)
 
 
+def test_bpe_texts_without_a_seam_are_not_exchanged_again(spark):
+    easy = random_texts(4, seed=4, pieces=3000)
+    stuck = ["q" * 3000 + " end", "start " + "🙂" * 2000, "é" * 700 + " words" * 500 + "\n" * 900 + "中" * 900, easy[0] + "#" * 1200 + easy[1]]
+    pattern = regex.compile(P.PATTERN)
+    assert all(bpe.stitch(pattern, x, 500, 100) is None for x in stuck)
+    own, plans = bpe.codec(RANKS, P.PATTERN), []
+    for texts in (easy, easy + stuck):
+        coded = bpe.encode(documents(spark, texts), RANKS, P.PATTERN, chunk=500, overlap=100)
+        plans.append(coded._jdf.queryExecution().optimizedPlan().toString())
+        assert {r["doc_id"]: r["token_ids"] for r in coded.collect()} == dict(enumerate(map(bytes, own.encode(texts))))
+    assert not any("Join" in x for x in plans)
+    assert plans[0].count("Repartition") == plans[1].count("Repartition")
+
+
 def test_chunks_stitch_to_the_same_pieces():
     pattern = regex.compile(P.PATTERN)
     texts = random_texts(300, seed=9, pieces=120) + ["a" * 500, " " * 300 + "b", "a b " * 100, "'" * 50]
