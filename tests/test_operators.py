@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from spanloom import detection_sql
+from spanloom import detection_sql, queries
 from spanloom.functions import parsing, text
 from spanloom.labels import CANONICAL, ENTITY_TYPES, EXCLUDED
 from spanloom.operators import detect, documents, errors, profile, provenance, scoring, selection, spans, synth, validation
@@ -321,6 +321,17 @@ def test_sources_and_sinks(spark, tmp_path):
     assert (mask["active"], mask["historical"], mask["unknown"]) == (5, 5, 0)
 
 
+def test_throttle_flags_of_large_ids(spark, tmp_path):
+    ids = [0, 1, 542361, 542362, 600000, 10**9, 10**15, -1, -542362]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    got = {tuple(r) for r in queries.QUERIES["s14_throttle_flags"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == set(con.sql(queries.SQL["s14_throttle_flags"]).fetchall())
+    masks = spark.createDataFrame([("0x100000000",), ("5",)], "m string").select(files.throttle_flags(F.col("m"))["active"])
+    assert [r[0] for r in masks.collect()] == [None, None]
+
+
 def test_no_reference_to_text_in_reports():
     assert not re.search(r"\.show\(", "".join(p.read_text() for p in __import__("pathlib").Path(sinks.__file__).parents[1].rglob("*.py")))
 
