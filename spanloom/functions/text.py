@@ -20,16 +20,33 @@ def _foldings() -> tuple[str, str, dict[str, str]]:
 _LETTERS, _FOLDED, _EXPANDED = _foldings()
 
 
-def casefolded(text: Column) -> Column:
-    """Full case folding. Most texts are ASCII, or hold no letter that becomes several."""
+def _class_of(letters: str) -> str:
+    """A regular expression's class of letters. Java tries the parts of a class one by one, so
+    letters of one region of Unicode stand behind one test that most characters fail."""
+    regions: list[list[str]] = []
+    for c in sorted(letters):
+        if not regions or ord(c) - ord(regions[-1][-1]) > 0x400:
+            regions.append([])
+        regions[-1].append(c)
+    return "[" + "".join(f"[{r[0]}-{r[-1]}&&[{''.join(r)}]]" for r in regions) + "]"
+
+
+_EXPANDS = _class_of("".join(_EXPANDED))
+
+
+def casefolded(text: Column, source: Column | None = None) -> Column:
+    """Full case folding. Most texts are ASCII, or hold no letter that becomes several; which of
+    these holds is found in ``source``, if given: what the text was made of by changes to its
+    white space only. So the text itself is evaluated once."""
+    source = text if source is None else source
     single = F.translate(text, _LETTERS, _FOLDED)
     several = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), _EXPANDED.items(), single)
-    return F.when(~text.rlike(r"[^\x00-\x7f]"), F.lower(text)).when(text.rlike(f"[{''.join(_EXPANDED)}]"), several).otherwise(single)
+    return F.when(~source.rlike(r"[^\x00-\x7f]"), F.lower(text)).when(source.rlike(_EXPANDS), several).otherwise(single)
 
 
 def normalized(text: Column) -> Column:
     """For duplicate search: white space runs become one blank, ends trimmed, case folded."""
-    return casefolded(F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " ")))
+    return casefolded(F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " ")), text)
 
 
 def lowered(text: Column) -> Column:

@@ -41,14 +41,30 @@ def with_overall(df: DataFrame, by: str, *aggregates: Column, name: str = "overa
     return rows.withColumn(by, F.when(F.col("_all") == 1, name).otherwise(F.col("_group"))).drop("_group", "_all")
 
 
+#: Hash buckets into which the refs of one key are dealt.
+BUCKETS = 32
+
+
 def duplicate_groups(df: DataFrame, key: str, ref: str, split: str, first: int = 10) -> DataFrame:
     """Keys that two or more different refs hold: refs, splits, if they cross splits, and the
-    ``first`` smallest refs. Ranks stop at ``first`` before anything is collected."""
-    rows = df.select(key, ref, split).distinct()
-    sums = rows.groupBy(key).agg(F.countDistinct(ref).alias("refs"), F.countDistinct(split).alias("splits")).where("refs > 1")
-    heads = rows.select(key, ref).distinct().withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(ref))).where(F.col("place") <= first)
-    examples = heads.groupBy(key).agg(F.sort_array(F.collect_list(ref)).alias("examples"))
-    return sums.join(examples, key).withColumn("crosses", F.col("splits") > 1)
+    ``first`` smallest refs. Ranks stop at ``first`` before anything is collected.
+
+    One pass over the rows, since their keys may be costly: a key's refs are ranked in buckets,
+    whose counts, splits and first refs are put together. Null keys are no groups, null refs and
+    splits don't count. The null keys are told by a count: a filter on the key, or a join, would
+    be moved below it and evaluate it again."""
+    dealt = df.select(key, ref, split, F.pmod(F.xxhash64(ref), F.lit(BUCKETS)).alias("_bucket")).repartition(key, "_bucket")
+    order = Window.partitionBy(key, "_bucket").orderBy(F.col(ref).asc_nulls_last())
+    new = F.col(ref).isNotNull() & ~F.lag(ref).over(order).eqNullSafe(F.col(ref))
+    ranked = dealt.withColumn("_new", new).withColumn("_place", F.dense_rank().over(order))
+    parts = ranked.groupBy(key, "_bucket").agg(
+        F.count_if("_new").alias("_refs"), F.collect_set(split).alias("_splits"), F.collect_list(F.when(F.col("_new") & (F.col("_place") <= first), F.col(ref))).alias("_first")
+    )
+    groups = parts.groupBy(key).agg(
+        F.sum("_refs").alias("refs"), F.size(F.array_distinct(F.flatten(F.collect_list("_splits")))).cast("long").alias("splits"),
+        F.slice(F.sort_array(F.flatten(F.collect_list("_first"))), 1, first).alias("examples"), F.count(key).alias("_held"),
+    )
+    return groups.where("refs > 1 and _held > 0").drop("_held").withColumn("crosses", F.col("splits") > 1)
 
 
 def label_counts(df: DataFrame, labels: str) -> DataFrame:

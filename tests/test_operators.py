@@ -453,6 +453,31 @@ def test_case_folding_of_every_letter(spark):
     assert all(r["f"] == r["t"].casefold() for r in rows)
 
 
+def test_duplicate_groups_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = [("hot", i, f"s{i % 3}") for i in range(700)] + [("hot", 5, "s9"), ("few", None, "a"), ("few", 2, "b"), ("one", 1, "a"), ("one", 1, "b"), (None, 1, "a"), (None, 2, "b")]
+    rows += [("null ref", None, "a")] + [("null ref", i, None) for i in range(15)]
+    rows += [(rng.choice("abcde"), rng.choice([None, *range(30)]), rng.choice([None, "x", "y"])) for _ in range(400)]
+    rng.shuffle(rows)
+    expected = {}
+    for key in {k for k, _, _ in rows} - {None}:
+        refs = sorted({r for k, r, _ in rows if k == key and r is not None})
+        splits = {s for k, _, s in rows if k == key and s is not None}
+        if len(refs) > 1:
+            expected[key] = (len(refs), len(splits), refs[:10], len(splits) > 1)
+    found = profile.duplicate_groups(spark.createDataFrame(rows, "key string, ref long, split string"), "key", "ref", "split")
+    assert found.columns == ["key", "refs", "splits", "examples", "crosses"]
+    assert {r["key"]: tuple(r)[1:] for r in found.collect()} == expected and {"hot", "null ref"} <= expected.keys()
+
+
+def test_duplicate_search_reads_and_normalizes_texts_once(spark):
+    df = queries.QUERIES["a7_duplicate_groups"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan")[0]
+    assert len(re.findall(r"FileScan|Scan parquet", plan)) == 1 and "Filter isnotnull(sha2" not in plan
+    # one white space expression for each of the three kinds of text, and each kind takes one
+    assert plan.count("regexp_replace(") == 3
+
+
 def test_reconciliation_against_brute_force(spark):
     rng = random.Random(6)
     found = [(1, "A", 0, 10, 9), (1, "B", 8, 20, 5), (1, "A", 18, 30, 7)]  # the third overlaps nothing that stays
