@@ -13,6 +13,8 @@ from ..functions.text import occurrence_starts, occurrences, overlap
 
 #: In this field order a sorted array of spans is in source order.
 SPAN = "struct<start:int,stop:int,type:string,text:string>"
+_SPANS = f"array<{SPAN}>"
+_ENTITIES = "array<struct<entity:string,types:array<string>>>"
 
 
 def _span(start: Column, type_: Column, text: Column) -> Column:
@@ -34,28 +36,53 @@ def convert_annotations(records: DataFrame) -> DataFrame:
     Annotations with one canonical type are grouped by their exact text; a record is rejected
     (error, null spans) for an unknown label, an ambiguous annotation, one text under two types,
     a count of annotations other than that of occurrences, or overlapping spans. A record without
-    annotations has no spans. One shuffle by record; the text is exploded only with its values."""
-    items = records.select("uid", "text", F.posexplode_outer("entities").alias("k", "item"))
-    items = items.withColumn("class", classification(F.col("item.types")))
-    fault = (
-        F.when(F.size("class.unknown") > 0, "unknown label")
-        .when(F.col("class.ambiguous"), "ambiguous types")
-    )
-    kind = F.when(F.size("class.canonical") == 1, F.element_at("class.canonical", 1))
-    values = items.select("uid", "text", F.col("item.entity").alias("value"), kind.alias("type"), fault.alias("fault"))
-    grouped = values.groupBy("uid", "text", "value").agg(
-        F.count("type").alias("annotated"), F.min("type").alias("type"), F.max("type").alias("other"), F.min("fault").alias("fault")
+    annotations has no spans. A record is converted in its own row, without a shuffle: its
+    annotations, sorted by text and type, are cut where the text changes. Each step is a column of
+    an exploded row, so that it is computed once."""
+
+    def step(rows: DataFrame, name: str, value: Column) -> DataFrame:
+        return rows.select(*rows.columns, F.explode(F.array(value)).alias(name))
+
+    def classes(e: Column) -> Column:
+        found = classification(e["types"])  # of its fields only those that are read are computed
+        return F.struct(e["entity"].alias("value"), found["canonical"].alias("canonical"), found["unknown"].alias("unknown"))
+
+    items = F.transform(
+        F.transform(F.coalesce("entities", F.array().cast(_ENTITIES)), classes),
+        lambda x: F.struct(
+            x["value"].alias("value"),
+            F.when(F.size(x["canonical"]) == 1, F.get(x["canonical"], F.lit(0))).alias("type"),
+            F.when(F.size(x["unknown"]) > 0, "unknown label").when(F.size(x["canonical"]) > 1, "ambiguous types").alias("fault"),
+        ),
     )
-    counted = grouped.withColumn("starts", F.when(F.col("annotated") > 0, occurrence_starts(F.col("text"), F.col("value"))))
-    fault = (
-        F.when(F.col("fault").isNotNull(), F.col("fault"))
-        .when(F.col("type") != F.col("other"), "one text, two types")
-        .when((F.col("annotated") > 0) & (F.size("starts") != F.col("annotated")), "annotations and occurrences differ")
+    rows = step(records.select("uid", "text", "entities"), "items", F.sort_array(items)).drop("entities")
+    at = lambda i: F.get("items", i)
+    size = F.size("items")
+    places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    rows = step(rows, "firsts", F.filter(places, lambda i: (i == 0) | ~at(i)["value"].eqNullSafe(at(i - 1)["value"])))
+    nexts = F.concat(F.slice("firsts", F.lit(2), F.size("firsts")), F.filter(F.array(size), lambda n: n > 0))
+    own = lambda i, n: F.slice("items", i + 1, n - i)
+    rows = step(rows, "cut", F.zip_with("firsts", nexts, lambda i, n: F.struct(i.alias("first"), n.alias("next"), F.size(F.filter(own(i, n), lambda x: x["type"].isNotNull())).alias("annotated"))))
+    groups = F.transform(
+        "cut",
+        lambda g: F.struct(
+            at(g["first"])["value"].alias("value"), g["annotated"].alias("annotated"), F.array_min(F.transform(own(g["first"], g["next"]), lambda x: x["fault"])).alias("fault"),
+            # items without a type come first
+            F.when(g["annotated"] > 0, at(g["next"] - g["annotated"])["type"]).alias("type"), F.when(g["annotated"] > 0, at(g["next"] - 1)["type"]).alias("other"),
+            F.when(g["annotated"] > 0, occurrence_starts(F.col("text"), at(g["first"])["value"])).alias("starts"),
+        ),
+    )
+    rows = step(rows, "groups", groups)
+    faults = F.transform(
+        "groups",
+        lambda g: F.when(g["fault"].isNotNull(), g["fault"])
+        .when(g["type"] != g["other"], "one text, two types")
+        .when((g["annotated"] > 0) & (F.size(g["starts"]) != g["annotated"]), "annotations and occurrences differ"),
     )
-    counted = counted.withColumn("fault", fault).withColumn("spans", F.transform("starts", lambda s: _span(s, F.col("type"), F.col("value"))))
-    whole = counted.groupBy("uid").agg(F.min("fault").alias("fault"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
-    error = F.coalesce("fault", F.when(overlapping(F.col("spans")), "overlapping spans"))
-    return whole.select("uid", F.when(error.isNull(), F.col("spans")).alias("spans"), error.alias("error"))
+    found = F.flatten(F.transform("groups", lambda g: F.coalesce(F.transform(g["starts"], lambda s: _span(s, g["type"], g["value"])), F.array().cast(_SPANS))))
+    rows = step(step(rows, "fault", F.array_min(faults)), "found", F.sort_array(found))
+    rows = step(rows, "error", F.coalesce("fault", F.when(overlapping(F.col("found")), "overlapping spans")))
+    return rows.select("uid", F.when(F.col("error").isNull(), F.col("found")).alias("spans"), "error")
 
 
 def anchor_values(samples: DataFrame) -> DataFrame:

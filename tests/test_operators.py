@@ -104,6 +104,49 @@ def test_span_conversion(spark):
     assert got["none"]["error"] is None and got["none"]["spans"] == []
 
 
+def converted(text_, entities):
+    """(spans, error) of one record, value by value."""
+    values, faults, found = {}, set(), []
+    for e in entities or []:
+        values.setdefault(e.entity, []).append(e.types)
+    for value, said in values.items():
+        kinds = [{CANONICAL[t] for t in types if t in CANONICAL} for types in said]
+        own = {"unknown label" if any(t not in CANONICAL and t not in EXCLUDED for t in types) else "ambiguous types" if len(k) > 1 else None for types, k in zip(said, kinds)} - {None}
+        single = [next(iter(k)) for k in kinds if len(k) == 1]
+        starts = find_all(text_, value)
+        if not own and len(set(single)) > 1:
+            own = {"one text, two types"}
+        if not own and single and len(starts) != len(single):
+            own = {"annotations and occurrences differ"}
+        faults |= own
+        found += [(s, s + len(value), min(single), value) for s in starts if single]
+    found.sort()
+    if not faults and any(a[1] > b[0] for a, b in zip(found, found[1:])):
+        faults.add("overlapping spans")
+    return (None, min(faults)) if faults else (found, None)
+
+
+def test_span_conversion_against_brute_force_without_a_shuffle(spark):
+    rng = random.Random(9)
+    labels = ["name", "last_name", "email", "customer_id", "city", "pet"]
+    records = [(-1, "x", None), (-2, "", []), (-3, "K1 K1", annotated(*[("K1", "customer_id")] * 2))]
+    for uid in range(300):
+        t = "".join(rng.choice("ab😀 ") for _ in range(rng.randint(0, 14)))
+        values = [rng.choice(["a", "ab", "b😀", " ", "aa", ""]) for _ in range(rng.randint(0, 3))]
+        weights = [9, 3, 3, 3, 1, 1]
+        entities = [(v, *rng.choices(labels, weights, k=rng.choice([1, 1, 1, 2]))) for v in values for _ in range(t.count(v) if v and rng.random() < 0.8 else 1)]
+        rng.shuffle(entities)
+        records.append((uid, t, annotated(*entities)))
+    records += [(-5, "Ann", annotated(("Ann", "pet"))), (-6, "Ann", annotated(("Ann", "pet"), ("Ann", "name"), ("Ann", "name")))]
+    records += [(-4, "K1", annotated(("K1", "customer_id"))), (-4, "of Ann", annotated(("Ann", "name")))]  # one id, two records
+    found = spans.convert_annotations(spark.createDataFrame(records, "uid long, text string, entities array<struct<entity:string,types:array<string>>>"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    key = lambda x: repr(x)
+    got = sorted(((r["uid"], None if r["spans"] is None else [tuple(s) for s in r["spans"]], r["error"]) for r in found.collect()), key=key)
+    expected = sorted(((u, *converted(t, e)) for u, t, e in records), key=key)
+    assert got == expected and len({e for _, _, e in got}) == 6
+
+
 def test_alignment_and_relaxed_match_against_greedy(spark):
     rng = random.Random(7)
     texts, items, gold = [], [], []
